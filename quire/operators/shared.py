@@ -5,8 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, StructField, StructType
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -42,3 +46,21 @@ def _clean() -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the session has ended: the cluster clears its own folder
             pass
+
+
+def with_python_column(df: DataFrame, inputs: list[str], name: str, kind: DataType, function) -> DataFrame:
+    """`df` with a column computed row by row in Python, in one Arrow pass; the other columns pass through untouched.
+
+    A plan node of its own, so the optimizer neither repeats the work nor folds it into expressions that cannot hold it.
+    """
+    schema = StructType([*(f for f in df.schema.fields if f.name != name), StructField(name, kind)])
+    kept = [f.name for f in schema.fields[:-1]]
+    target = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in inputs]
+            made = [function(*row) for row in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(made, target)], names=[*kept, name])
+
+    return df.mapInArrow(run, schema)
