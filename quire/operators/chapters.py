@@ -58,7 +58,12 @@ def split_chapters(docs: DataFrame, id_col: str, text_col: str, cases: list[tupl
     """
     rows = docs.select(F.col(id_col).alias("id"), lines(F.col(text_col)).alias("rows"), best_case(F.col(text_col), cases).alias("case"))
     rows = rows.where("case is not null")
-    at = F.filter(F.transform(F.col("rows"), lambda x, i: F.when(F.regexp_like(strip(x), F.col("case.pattern")), i)), lambda i: i.isNotNull())
+
+    def cuts(x: Column) -> Column:
+        places = F.transform(x["rows"], lambda row, i: F.when(F.regexp_like(strip(row), x["pattern"]), i))
+        return F.filter(places, lambda i: i.isNotNull())
+
+    at = let(F.struct(F.col("rows").alias("rows"), F.col("case.pattern").alias("pattern")), cuts)
     parts = rows.withColumn("at", at).select("id", "rows", "at", F.posexplode("at").alias("k", "start"))
     end = F.coalesce(F.get(F.col("at"), F.col("k") + 1), F.size("rows"))
     body = strip(F.array_join(F.slice("rows", F.col("start") + 2, end - F.col("start") - 1), "\n"))

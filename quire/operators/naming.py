@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quire.functions.text import strip, strip_site_suffix
 
@@ -36,7 +37,7 @@ def slug(text: str | None, most: int = 80) -> str:
 
 
 def _slugs(most: int):
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield s.map(lambda x: slug(x, most))

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quire.functions.text import strip, strip_markdown
 
@@ -17,7 +18,7 @@ INDEX_FILE = "0000_Index.md"
 MODES = ("obsidian", "translate", "raw")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def quoted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Text in quotes as Python writes it."""
     for s in batches:
