@@ -10,14 +10,14 @@ from quire.functions.urls import site_key
 from quire.operators.chapters import smart_title
 from quire.operators.extract import body_of, chosen, with_candidates
 from quire.operators.guards import duplicates
-from quire.operators.lines import clean_content, floor, strip_nav_edges
+from quire.operators.lines import clean_content
 from quire.operators.profiles import with_profile
 from quire.sources.tables import table
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
     """Raw documents with their site's selectors."""
-    raw = table(spark, d, "raw_documents")
+    raw = table(spark, d, "raw_documents", spread=True)
     columns = ["content_selector", "next_selector", "title_selector", "remove_selectors"]
     return with_profile(raw, site_key(F.col("source_url")), table(spark, d, "site_profiles"), columns)
 
@@ -40,8 +40,7 @@ def chapters(spark: SparkSession, d: str) -> DataFrame:
         "raw_id", story.alias("story"), "chapter_index", title.alias("title"), "source_url", "source_path", "content_method", "next_url", "next_method",
         "content",
     )
-    rows = clean_content(rows, "content", "body").drop("content")
-    rows = rows.withColumn("body", floor(F.col("body"), strip_nav_edges))
+    rows = clean_content(rows, "content", "body", edges=True).drop("content")
     rows = rows.withColumn("body", body_of(F.col("body"), F.col("title"))).where(F.length(F.trim("body")) >= 100)
     rows = duplicates(rows, "body", ["chapter_index", "raw_id"], ["story"]).where("copy_no = 1")
     by = Window.partitionBy("story").orderBy("chapter_index", "raw_id")

@@ -117,7 +117,7 @@ def length_scores(spark: SparkSession, d: str) -> DataFrame:
       + (case when n = 0 then 0.0::double else least(1.0::double, kinds / n::double * 1.5::double) end)) / 5, 3) as score from c"""
 )
 def prose_scores(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", X.prose_score(F.col("text")).alias("score"))
+    return table(spark, d, "documents", spread=True).select("doc_id", X.prose_score(F.col("text")).alias("score"))
 
 
 # ---- addresses and titles ---------------------------------------------------------------------------------------------
@@ -208,7 +208,7 @@ _EDGES = f"""e as (select coalesce(source, '') as domain, lower(unnest(list_conc
 
 @query(f"with {_EDGES} select domain, line, n from k")
 def edge_suspects(spark: SparkSession, d: str) -> DataFrame:
-    return boilerplate.suspects(table(spark, d, "documents"), F.coalesce("source", F.lit("")), F.col("text"))
+    return boilerplate.suspects(table(spark, d, "documents", spread=True), F.coalesce("source", F.lit("")), F.col("text"))
 
 
 @query(
@@ -227,7 +227,7 @@ def edge_candidates(spark: SparkSession, d: str) -> DataFrame:
 )
 def boilerplate_removed(spark: SparkSession, d: str) -> DataFrame:
     words = edge_candidates(spark, d).where("kind = 'auto'").select("domain", F.col("line").alias("keyword"))
-    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    docs = table(spark, d, "documents", spread=True).select("doc_id", "source", "text")
     return boilerplate.filter_lines(docs, F.coalesce("source", F.lit("")), "text", words).select("doc_id", F.md5("text").alias("clean"))
 
 
@@ -311,7 +311,7 @@ _CASE = f"c as (select doc_id, ls, {_BEST} as score, {_PICK} as id, {_PICK_P} as
 
 @query(f"with {_CASE} select doc_id, id as case_id, cast(score as integer) as score from c")
 def boundary_cases(spark: SparkSession, d: str) -> DataFrame:
-    df = table(spark, d, "documents").select("doc_id", chapters.best_case(F.col("text")).alias("c")).where("c is not null")
+    df = table(spark, d, "documents", spread=True).select("doc_id", chapters.best_case(F.col("text")).alias("c")).where("c is not null")
     return df.select("doc_id", F.col("c.id").alias("case_id"), F.col("c.score").alias("score"))
 
 
@@ -325,7 +325,7 @@ _CUTS = " ".join(
     select doc_id, cast(k as integer) as chapter_index, ls[cuts[k]] as title from b"""
 )
 def text_chapters(spark: SparkSession, d: str) -> DataFrame:
-    return chapters.split_chapters(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "chapter_index", "title")
+    return chapters.split_chapters(table(spark, d, "documents", spread=True), "doc_id", "text").select(F.col("id").alias("doc_id"), "chapter_index", "title")
 
 
 def _holds(c: str, words: list[str]) -> str:
@@ -413,8 +413,8 @@ def line_passes(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def cleaned(spark: SparkSession, d: str) -> DataFrame:
     """All cleaning passes, then the trimmed edges."""
-    df = lines.clean_content(table(spark, d, "pipeline_contexts").select("ctx_id", "content"), "content", "clean")
-    return df.select("ctx_id", lines.floor(F.col("clean"), lines.strip_nav_edges).alias("clean"))
+    df = table(spark, d, "pipeline_contexts", spread=True).select("ctx_id", "content")
+    return lines.clean_content(df, "content", "clean", edges=True).select("ctx_id", "clean")
 
 
 # ---- profiles ---------------------------------------------------------------------------------------------------------

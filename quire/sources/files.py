@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,17 +61,20 @@ def epub_documents(files: DataFrame) -> DataFrame:
     A file that is no readable book gives one row with `error`. Books are read one at a time within a task.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [part.split()[0] for part in _SPINE.split(", ")]
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+    names = [part.split()[0] for part in _SPINE.split(", ")]
+    kinds = [pa.int32() if part.endswith(" int") else pa.string() for part in _SPINE.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    rows = _read_epub(bytes(content))
+                    rows = _read_epub(content)
                 except Exception as e:  # the book is broken: told in the row, the others go on
                     rows = [{"error": f"{type(e).__name__}: {e}"}]
-                yield pd.DataFrame([{"path": path, **r} for r in rows], columns=names)
+                columns = [[path if n == "path" else r.get(n) for r in rows] for n in names]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return files.select("path", "content").mapInPandas(run, _SPINE)
+    return files.select("path", "content").mapInArrow(run, _SPINE)
 
 
 def _local(tag: str) -> str:
