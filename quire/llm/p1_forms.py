@@ -17,8 +17,10 @@ def consistent_text(df: DataFrame, columns: list[str], suffix: str = "_norm", ke
 
     The form is compatibility-normalised and composed, with look-alike letters and blanks mapped, characters that show
     nothing removed and (unless `keep_case`) case fully folded. Null stays null, an empty text stays empty; other
-    columns pass through, whatever their names. One Arrow pass, each distinct value of a batch is computed once.
+    columns pass through, but one named as a result is replaced. One Arrow pass, each distinct value of a batch is
+    computed once.
     """
+    df = df.drop(*(c + suffix for c in columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

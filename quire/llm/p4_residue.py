@@ -18,7 +18,7 @@ CHAPTER, ERROR, SCRIPT, FILLER, TEMPLATE = range(5)
 
 # Unfilled placeholders of common template languages, and the words people leave for themselves.
 PLACEHOLDER = re.compile(
-    r"\{\{\{?\s*[#/^>&]?\s*[A-Za-z_][\w.]*(?:\s+[\w.]+)*(?:\s*\|\s*[a-z_]+(?:\([^)]*\)|:[^}]*)?)*\s*\}?\}\}"
+    r"\{\{\{?\s*[#/^>&]?\s*[A-Za-z_][\w.]*(?:\s+[\w.]+)*(?:\s*\|\s*(?:upper|lower|title|capitalize|safe|escape|e|trim|default|date|truncate|raw)\b(?:\([^)]*\)|:[^}]*)?)*\s*\}?\}\}"
     r"|\$\{\s*[A-Za-z_][\w.]*\s*\}|#\{\s*[A-Za-z_][\w.]*\s*\}|<%[=-]?\s*[\w.@ ()]+-?%>|\[%-?\s*[\w.]+(?:\s[\w.]+)*\s*-?%\]|\{%-?\s*[^%]{1,60}-?%\}"
     r"|<\?(?:php|=)[^?]*\?>|\[\[[+*~$%!][\w.]+\]\]|@@\w+@@|##[A-Z_]+##|%[A-Z][A-Z0-9]*_[A-Z0-9_]*%|%%[A-Z_]+%%|__[A-Z][A-Z0-9_]*[A-Z0-9]__"
     r"|\{[a-z]+(?:_[a-z]+)*\}|\{\d\}(?!\})|(?<!\w)%s\b|(?<!\w)%\(\w+\)s"
