@@ -92,7 +92,7 @@ def title_from_slug(url: Column) -> Column:
     character becomes a capital."""
     chosen = F.filter(segments(url), lambda s: ~s.rlike(r"^\d+$") & (F.length(s) > 3))
     slug = F.try_element_at(chosen, F.lit(-1))
-    bare = F.regexp_replace(F.regexp_replace(slug, r"(?i)^(?:chapter|chap|ch|episode|ep|part)[-_]?\d+[-_]?", ""), r"^[-_ ]+|[-_ ]+$", "")
+    bare = F.regexp_replace(F.regexp_replace(slug, r"(?i)(?:chapter|chap|ch|episode|ep|part)[_-]?\d+", ""), r"^[-_ ]+|[-_ ]+$", "")
     words = F.trim(F.regexp_replace(bare, r"[-_]+", " "))
     title = F.array_join(F.transform(F.split(F.lower(words), " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))), " ")
     return F.when(is_valid(url) & (F.length(words) >= 3), title)

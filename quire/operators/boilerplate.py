@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import is_keyword, lines, strip
+from quire.functions.text import any_match, is_keyword, lines, strip
 
 # Fixed values of the task: watermarks known for one site.
 BUILT_IN = {
@@ -16,6 +16,24 @@ BUILT_IN = {
 }
 
 
+# Fixed values of the task: rotating watermarks of one site, by words that stand near its name.
+PATTERNS = {
+    "royalroad.com": [
+        r"\bamazon\b.{0,80}\b(permission|consent|author|report|stolen|taken|pilfered|appropriated|misappropriated|illicit|illegal|unlawful|unauthori[sz]ed|violation)\b",
+        r"\b(permission|consent|stolen|taken|pilfered|appropriated|misappropriated|illicit|illegal|unlawful|unauthori[sz]ed|lifted|reported|report it)\b.{0,80}\bamazon\b",
+        r"\b(stolen|taken|pilfered|appropriated|misappropriated|illicit|illegal|unlawful|unauthori[sz]ed|lifted)\b.{0,80}\broyal\s*road\b",
+    ]
+}
+
+
+def has_watermark(line: Column, domain: Column) -> Column:
+    """Whether a line shows one of its site's rotating watermarks."""
+    out = F.lit(False)
+    for site, patterns in PATTERNS.items():
+        out = out | ((F.regexp_replace(F.lower(domain), r"^(?:epub:|txt:|www\.)+", "") == site) & any_match(line, [f"(?i){p}" for p in patterns]))
+    return F.coalesce(out, F.lit(False))
+
+
 def edge_lines(docs: DataFrame, domain: Column, text: Column, edge: int = 5) -> DataFrame:
     """(domain, line): first and last five filled lines of each document in lower case; a short document gives a line twice."""
     filled = F.filter(F.transform(lines(text), strip), lambda x: x != "")
@@ -58,7 +76,7 @@ def keywords(learned: DataFrame, profiles: DataFrame | None = None) -> DataFrame
 
 
 def filter_lines(docs: DataFrame, domain: Column, text_col: str, words: DataFrame) -> DataFrame:
-    """`docs` with the lines that hold a keyword of their domain (or of 'global') dropped; blank lines stay.
+    """`docs` with the lines that hold a keyword of their domain (or of 'global'), or a watermark, dropped; blank ones stay.
 
     Each domain's keywords are gathered into one array (bounded: a domain learns at most twenty a run) and joined by
     domain, so a line meets its own domain's keywords only.
@@ -68,8 +86,11 @@ def filter_lines(docs: DataFrame, domain: Column, text_col: str, words: DataFram
     joined = docs.withColumn("__k", domain).join(own, F.col("__k") == F.col("__d"), "left").join(F.broadcast(every))
     found = F.concat(F.coalesce(F.col("__own"), F.array().cast("array<string>")), F.coalesce(F.col("__all"), F.array().cast("array<string>")))
     joined = joined.withColumn("__w", found)
-    kept = F.filter(lines(F.col(text_col)), lambda x: (strip(x) == "") | ~F.exists(F.col("__w"), lambda k: F.contains(F.lower(x), k)))
-    clean = F.when(F.size("__w") == 0, F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(
+        lines(F.col(text_col)), lambda x: (strip(x) == "") | ~(F.exists(F.col("__w"), lambda k: F.contains(F.lower(x), k)) | has_watermark(x, F.col("__k")))
+    )
+    patterned = F.regexp_replace(F.lower(F.coalesce(F.col("__k"), F.lit(""))), r"^(?:epub:|txt:|www\.)+", "").isin(*PATTERNS)
+    clean = F.when((F.size("__w") == 0) & ~patterned, F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return joined.withColumn(text_col, clean).drop("__k", "__d", "__own", "__all", "__w")
 
 

@@ -254,12 +254,13 @@ def plain_text(e: Element) -> str:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", "".join(parts))).strip()
 
 
-LAZY = ("data-src", "data-original", "data-lazy-src", "data-lazy", "src")
+# Fixed values of the task: attributes that may hold an image's address, in their order.
+SOURCES = ("src", "data-src", "data-original", "data-lazy-src", "data-actual-src")
 
 
 def image_url(attrs: dict[str, str], base: str) -> str | None:
-    """Absolute address of an image: lazy-loading attributes first, then the last of srcset; inline data is none."""
-    url = next((v for a in LAZY if (v := attrs.get(a)) and not v.startswith("data:")), None)
+    """Absolute address of an image: source attributes in order, then the last of srcset; inline data is none."""
+    url = next((v for a in SOURCES if (v := attrs.get(a)) and not v.startswith("data:")), None)
     if url is None and (entries := [p.split()[0] for p in attrs.get("srcset", "").split(",") if p.strip()]):
         url = entries[-1]
     if not url or url.startswith("data:"):

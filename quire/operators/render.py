@@ -32,14 +32,15 @@ def indent(body: Column) -> Column:
 
     def one(x: Column, i: Column) -> Column:
         inside = F.aggregate(F.slice(fence, 1, i), F.lit(0), lambda a, b: a + b) % 2 == 1
-        special = x.rlike(r"^\s*(?:#{1,6}\s|>|[-*+]\s|\d+\.\s|\||---+\s*$|\*\*\*+\s*$|<!--|!\[[^\]]*\]\([^)]*\)\s*$|```)")
+        special = x.rlike(r"^\s*(?:#|>|[-*+]\s|\d+\.\s|---\s*$|\||<!--|!\[|```)")
         return F.when((strip(x) == "") | inside | special, x).otherwise(F.concat(F.lit(INDENT), x))
 
     return F.array_join(F.transform(rows, one), "\n")
 
 
-def obsidian(title: Column, index: Column, body: Column, source_url: Column, source_path: Column) -> Column:
-    """Front matter, indented body, source line."""
+def obsidian(title: Column, index: Column, body: Column, source_url: Column, source_path: Column, meta: Column | None = None) -> Column:
+    """Front matter (with story_name, language and author of a metadata map), indented body, source line."""
+    told = [] if meta is None else [F.when(F.length(meta[k]) > 0, F.concat(F.lit(f"{k}: "), quoted(meta[k]))) for k in ("story_name", "language", "author")]
     head = F.concat_ws(
         "\n",
         F.lit("---"),
@@ -47,6 +48,7 @@ def obsidian(title: Column, index: Column, body: Column, source_url: Column, sou
         F.concat(F.lit("chapter_index: "), index.cast("string")),
         F.concat(F.lit("source_url: "), source_url),
         F.concat(F.lit("source_path: "), source_path),
+        *told,
         F.lit("---"),
         F.lit(""),
     )
@@ -54,25 +56,29 @@ def obsidian(title: Column, index: Column, body: Column, source_url: Column, sou
     return F.concat(head, F.lit("\n"), indent(F.coalesce(body, F.lit(""))), foot)
 
 
-def _headless(body: Column) -> Column:
-    return F.regexp_replace(F.coalesce(body, F.lit("")), r"^\s*#{1,6}[^\n]*\n", "")
+def _text(title: Column, index: Column, body: Column, images: str) -> Column:
+    headless = F.regexp_replace(F.coalesce(body, F.lit("")), r"^#{1,6}\s+[^\n]*\n*", "")
+    named = F.coalesce(F.nullif(strip(title), F.lit("")), F.concat(F.lit("Chapter "), index.cast("string")))
+    return F.concat(F.regexp_replace(F.concat(named, F.lit("\n\n"), strip_markdown(headless, images)), r"\s+$", ""), F.lit("\n"))
 
 
-def translation(title: Column, body: Column) -> Column:
-    return strip(F.concat(F.coalesce(title, F.lit("")), F.lit("\n\n"), strip_markdown(_headless(body))))
+def translation(title: Column, index: Column, body: Column) -> Column:
+    """Title, empty line, text without markup; images as [IMAGE: alt]."""
+    return _text(title, index, body, "[IMAGE: $1]")
 
 
-def raw(title: Column, body: Column) -> Column:
-    return strip(F.concat(F.coalesce(title, F.lit("")), F.lit("\n\n"), strip_markdown(_headless(body), "")))
+def raw(title: Column, index: Column, body: Column) -> Column:
+    """As `translation`, without images."""
+    return _text(title, index, body, "")
 
 
 def rendered(mode: str, title: Column, index: Column, body: Column, source_url: Column, source_path: Column) -> Column:
     if mode == "obsidian":
         return obsidian(title, index, body, source_url, source_path)
     if mode == "translate":
-        return translation(title, body)
+        return translation(title, index, body)
     if mode == "raw":
-        return raw(title, body)
+        return raw(title, index, body)
     raise ValueError(f"unknown output mode {mode!r}: one of {', '.join(MODES)}")
 
 
@@ -158,6 +164,34 @@ def apply_images(content: Column, images: Column, mode: str) -> Column:
     return F.aggregate(F.coalesce(images, F.array().cast("array<struct<original_url:string,local_path:string,alt_text:string,position_marker:string>>")), content, one)
 
 
+def image_extension(content_type: Column, content: Column) -> Column:
+    """Extension of an image by its declared type, else by its first bytes, else .jpg."""
+    told = F.trim(F.lower(F.substring_index(F.coalesce(content_type, F.lit("")), ";", 1)))
+    head = F.hex(F.substring(content, 1, 12))
+    return (
+        F.when(told.isin("image/jpeg", "image/jpg"), ".jpg").when(told == "image/png", ".png").when(told == "image/webp", ".webp").when(told == "image/gif", ".gif")
+        .when(head.startswith("FFD8FF"), ".jpg").when(head.startswith("89504E47"), ".png").when(head.startswith("52494646") & F.contains(head, F.lit("57454250")), ".webp")
+        .when(head.startswith("47494638"), ".gif").otherwise(".jpg")
+    )
+
+
+def match_images(refs: DataFrame, items: DataFrame) -> DataFrame:
+    """`refs` (book, href) with the best item of `items` (book, file, content): the whole name, else without leading
+    dots and folders, else the bare file name. Unmatched references keep nulls."""
+    name = lambda c: F.lower(F.substring_index(c, "/", -1))
+    bare = lambda c: F.lower(F.regexp_replace(F.substring_index(c, "#", 1), r"^(?:\.{0,2}/)+", ""))
+    wanted = refs.select("book", "href", F.posexplode(F.array(F.col("href"), bare(F.col("href")), name(F.col("href")))).alias("rank", "key")).distinct()
+    keys = items.select("book", F.posexplode(F.array(F.col("file"), bare(F.col("file")), name(F.col("file")))).alias("rank", "key"), "file", "content")
+    hits = wanted.join(keys, ["book", "rank", "key"]).groupBy("book", "href").agg(F.min_by(F.struct("file", "content"), F.struct("rank", "file")).alias("hit"))
+    return refs.join(hits, ["book", "href"], "left").select(*refs.columns, F.col("hit.file").alias("file"), F.col("hit.content").alias("content"))
+
+
+def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows that a run lost ('-') or gained ('+') against a stored one; repeated rows count each."""
+    gone, came = old.exceptAll(new).withColumn("change", F.lit("-")), new.exceptAll(old).withColumn("change", F.lit("+"))
+    return gone.unionByName(came)
+
+
 def changed(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of `new` that are absent from `old` or differ from it."""
     o = old.select(*keys, F.col("content").alias("__old"))

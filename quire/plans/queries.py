@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as X
 from quire.functions import urls as U
-from quire.operators import boilerplate, chapters, guards, lines, naming, profiles, render
+from quire.operators import boilerplate, chapters, fetching, guards, lines, naming, profiles, render
 from quire.plans import chapters as job
 from quire.sources.tables import table
 
@@ -293,6 +293,32 @@ def trailing_minute(spark: SparkSession, d: str) -> DataFrame:
     return guards.trailing_count(table(spark, d, "events"), "user_id", "ts").select("event_id", "user_id", "recent")
 
 
+@query(
+    f"""with b as (select ctx_id, sum(duration_ms) as ms, avg(case when status in ('success', 'fallback') and confidence > 0 then confidence end) as conf from
+        (select distinct result_id, ctx_id, status, confidence, duration_ms from block_results) group by ctx_id),
+    a as (select c.ctx_id, coalesce(validation_score, 0.0) as q, least(1.0::double, greatest(0.0::double, 1.0::double - (greatest(coalesce(ms, 0.0), 1.0) - 500) / 4500)) as sp,
+      case when contains(lower(coalesce(fetch_method, '')), 'playwright') then 0.5::double else 1.0::double end as r, coalesce(conf, 0.0) as co from pipeline_contexts c left join b using (ctx_id))
+    select ctx_id, cast(floor(sp * 1000 + 0.5000001) as bigint) as speed, cast(floor((q * 0.4::double + sp * 0.3::double + r * 0.2::double + co * 0.1::double) * 1000 + 0.5000001) as bigint) as total from a"""
+)
+def run_scores(spark: SparkSession, d: str) -> DataFrame:
+    steps = table(spark, d, "block_results").select("result_id", "ctx_id", "status", "confidence", "duration_ms").distinct()
+    good = F.when(F.col("status").isin("success", "fallback") & (F.col("confidence") > 0), F.col("confidence"))
+    sums = steps.groupBy("ctx_id").agg(F.sum("duration_ms").alias("ms"), F.avg(good).alias("conf"))
+    c = table(spark, d, "pipeline_contexts").select("ctx_id", "validation_score", "fetch_method").join(sums, "ctx_id", "left")
+    score = fetching.pipeline_score(F.col("validation_score"), F.col("ms"), F.col("fetch_method"), F.col("conf"), None)
+    return c.select("ctx_id", *(F.floor(score[k] * 1000 + 0.5000001).alias(k) for k in ("speed", "total")))  # thousandths
+
+
+@query(
+    f"""with f as (select url, status_code, html, content, title_clean, ({_CHALLENGE}) and length(html) >= 100 as ch from pipeline_contexts),
+    u as (select 'rate_limited' as type from f where status_code = 429 union all select 'blocked' from f where ch union all select 'missing_page' from f where html is null
+      union all select 'short_content' from f where content is not null and length(trim(content)) < 100 union all select 'bare_title' from f where regexp_matches(title_clean, '^Chapter \\d+$'))
+    select type, count(*) as n from u group by type"""
+)
+def issue_counts(spark: SparkSession, d: str) -> DataFrame:
+    return fetching.issues(table(spark, d, "pipeline_contexts")).groupBy("type").agg(F.count("*").alias("n"))
+
+
 @query(f"select domain, block_type, status, count(*) as n, cast(sum(char_count) as bigint) as chars from {_STEPS} group by all")
 def step_totals(spark: SparkSession, d: str) -> DataFrame:
     steps = table(spark, d, "block_results").select("result_id", "ctx_id", "domain", "block_type", "block_name", "status", "method_used", "confidence", "char_count", "recorded_at").distinct()

@@ -241,6 +241,35 @@ def test_streams(spark, tmp_path):
     assert {r.story_id: (r.chapters, r.stopped, r.reason) for r in spark.table("prog").collect()} == {1: (1, True, "repeat"), 2: (1, False, None)}
 
 
+def test_fetching_and_agents(spark):
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    from quire.operators import agents, fetching
+
+    ok, cf = "<html>" + "x" * 200, "<title>Just a moment...</title>" + "x" * 200
+    rows = [(ok, 200, None, None, False), (cf, 403, ok, 200, False), (None, None, ok, 200, False), (ok, 200, ok, 200, True), (None, None, None, None, None), (cf, 503, None, None, False)]
+    df = spark.createDataFrame(rows, "a string, s int, b string, t int, f boolean")
+    got = [r.v and (r.v.method, r.v.confidence) for r in df.select(fetching.fetched(*(F.col(c) for c in "asbtf")).alias("v")).collect()]
+    assert got == [("plain", 1.0), ("browser_challenge", 0.9), ("browser_fallback", 0.85), ("browser", 1.0), None, ("plain_blocked", 0.0)]
+    assert agents.first_json('```json\n{"a": 1}\n```') == '{"a": 1}' and agents.first_json('x [1] {"b": 2}') == '{"b": 2}' and agents.first_json("none") is None
+    schema = StructType([StructField("a", StringType())])
+    p = spark.createDataFrame([("q",), (None,)], "p string")
+    assert [r.o for r in agents.ask(p, "p", "o", schema).collect()] == [None, None]
+    assert [r.o and r.o.a for r in agents.ask(p, "p", "o", schema, call=lambda x: '{"a": "' + x + '!"}').collect()] == ["q!", None]
+    arr = spark.sql("select array('a','b') as c, array('b') as s, array('x','y') as n, array('y') as d")
+    assert arr.select(agents.updated_selectors(*(F.col(c) for c in "csnd")).alias("v")).first().v == ["b", "x"]
+    assert arr.select(agents.known_link(F.col("c"), F.lit("z")).alias("v")).first().v == "a"
+    seen = spark.sql("select X'89504E470D0A' as c, 'text/html' as t union all select X'00', 'image/webp; q=1' union all select null, null")
+    assert [r.v for r in seen.select(render.image_extension(F.col("t"), F.col("c")).alias("v")).collect()] == [".png", ".webp", ".jpg"]
+    refs = spark.createDataFrame([("b", "../img/A.png"), ("b", "none.gif")], "book string, href string")
+    items = spark.createDataFrame([("b", "img/a.png", "1"), ("b", "x/a.png", "2")], "book string, file string, content string")
+    assert {r.href: r.file for r in render.match_images(refs, items).collect()} == {"../img/A.png": "img/a.png", "none.gif": None}
+    assert {(r.href, r.change) for r in render.snapshot_diff(refs, refs.where("href like '%png'").union(refs.limit(1))).collect()} == {("none.gif", "-"), ("../img/A.png", "+")}
+    mark = spark.createDataFrame([("www.royalroad.com", "Keep this.\nThis tale was stolen from Royal Road; report it.")], "d string, t string")
+    none = spark.createDataFrame([], "domain string, keyword string")
+    assert boilerplate.filter_lines(mark, F.col("d"), "t", none).first().t == "Keep this."
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "id long, domain string, text string")
     assert boilerplate.candidates(boilerplate.suspects(docs, F.col("domain"), F.col("text"))).count() == 0
