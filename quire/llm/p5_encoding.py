@@ -15,7 +15,7 @@ from quire.llm.chars import LOOK_ALIKE, codes, look
 # Symbols: each character of these ranges is its own; others stand for their block of 1024, so the table of pairs has
 # a proven size bound whatever the corpus holds.
 _OWN = [
-    (0x0000, 0x0250), (0x0370, 0x0460), (0x0900, 0x0980), (0x0E00, 0x0E80), (0x1EA0, 0x1F00), (0x2000, 0x2070),
+    (0x0000, 0x0460), (0x0900, 0x0980), (0x0E00, 0x0E80), (0x1EA0, 0x1F00), (0x2000, 0x2070),
     (0x20A0, 0x20B0), (0x2100, 0x2130), (0x2200, 0x2270), (0x2500, 0x25A0), (0x3000, 0x3100),
 ]
 _BLOCK, _TOP = 1024, 0x30000
