@@ -8,14 +8,24 @@ from pyspark.sql import functions as F
 from quire.functions.text import fingerprint
 
 
-def duplicates(docs: DataFrame, text_col: str, order: list[str], within: list[str] | None = None) -> DataFrame:
+def duplicates(docs: DataFrame, text_col: str, order: list[str], within: list[str] | None = None, bucket: Column | None = None) -> DataFrame:
     """`docs` with fp and copy_no: the first of equal texts (within the given columns) has 1. Null texts have null in both.
 
-    Only the keys are ranked; the hash is taken before the exchange.
+    The hash is taken before the exchange. `bucket`, a column that never falls along `order`, splits a text with very
+    many copies: copies are ranked within buckets, and a bucket starts at the number of copies in the buckets before it.
     """
-    by = Window.partitionBy(*(within or []), "fp").orderBy(*order)
+    keys = [*(within or []), "fp"]
     rows = docs.withColumn("fp", fingerprint(F.col(text_col)))
-    return rows.withColumn("copy_no", F.when(F.col("fp").isNotNull(), F.row_number().over(by)))
+    if bucket is None:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return rows.withColumn("copy_no", F.when(F.col("fp").isNotNull(), rank))
+    rows = rows.withColumn("__b", bucket)
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.where("fp is not null").groupBy(*keys, "__b").agg(F.count("*").alias("__n"))
+    offsets = counts.withColumn("__o", F.coalesce(F.sum("__n").over(before), F.lit(0))).where("__o > 0").drop("__n")
+    rank = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(*order))
+    joined = rows.withColumn("__r", rank).join(offsets, [*keys, "__b"], "left")
+    return joined.withColumn("copy_no", F.when(F.col("fp").isNotNull(), F.col("__r") + F.coalesce("__o", F.lit(0)))).select(*docs.columns, "fp", "copy_no")
 
 
 def until_repeat(docs: DataFrame, story: str, index: str, fp: str) -> DataFrame:
@@ -26,20 +36,42 @@ def until_repeat(docs: DataFrame, story: str, index: str, fp: str) -> DataFrame:
     return rows.withColumn("__stop", F.min("__again").over(whole)).where(F.col("__stop").isNull() | (F.col(index) < F.col("__stop"))).drop("__again", "__stop")
 
 
-def streaks(events: DataFrame, key: str, order: list[str], failed: Column) -> DataFrame:
-    """`events` with streak: how many failures in a row end here (0 for a success)."""
-    by = Window.partitionBy(key).orderBy(*order)
-    rows = events.withColumn("__f", failed.cast("int"))
+def streaks(events: DataFrame, key: str, order: list[str], failed: Column, bucket: Column | None = None) -> DataFrame:
+    """`events` with streak: how many failures in a row end here (0 for a success).
+
+    `bucket`, a column that never falls along `order` (the day, say), splits keys with very many events: runs are counted
+    within buckets, and a bucket's first run goes on from the failures that end the buckets before it.
+    """
+    rows = events.withColumn("__f", failed.cast("int")).withColumn("__b", F.lit(0) if bucket is None else bucket)
+    by = Window.partitionBy(key, "__b").orderBy(*order)
     rows = rows.withColumn("__g", F.sum(1 - F.col("__f")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    run = Window.partitionBy(key, "__g").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("streak", F.sum("__f").over(run)).drop("__f", "__g")
+    run = Window.partitionBy(key, "__b", "__g").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("streak", F.sum("__f").over(run))
+    if bucket is None:
+        return rows.drop("__f", "__g", "__b")
+    runs = rows.groupBy(key, "__b", "__g").agg(F.sum("__f").alias("n"))
+    ends = runs.groupBy(key, "__b").agg(F.max_by("n", "__g").alias("tail"), (F.max("__g") > 0).cast("int").alias("ok"))
+    along = Window.partitionBy(key).orderBy("__b")
+    ends = ends.withColumn("part", F.sum("ok").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    since = Window.partitionBy(key, "part").orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = ends.withColumn("so_far", F.sum("tail").over(since))
+    carried = ends.select(key, "__b", F.coalesce(F.lag("so_far").over(along), F.lit(0)).alias("__c")).where("__c > 0")
+    out = rows.join(carried, [key, "__b"], "left")
+    more = F.when((F.col("__g") == 0) & (F.col("__f") == 1), F.coalesce("__c", F.lit(0))).otherwise(0)
+    return out.withColumn("streak", F.col("streak") + more).select(*events.columns, "streak")
 
 
 def trailing_count(events: DataFrame, key: str, ts: str, seconds: int = 60) -> DataFrame:
-    """`events` with recent: events of the key in the trailing window, itself included, the far edge excluded."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    by = Window.partitionBy(key).orderBy(micros).rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return events.withColumn("recent", F.count("*").over(by))
+    """`events` with recent: events of the key in the trailing window, itself included, the far edge excluded.
+
+    Time is cut into slots of the window's length; every event stands in its own slot and, to be counted only, in the
+    next. A frame never reaches further, so a key with very many events is spread over its slots.
+    """
+    span = seconds * 1_000_000
+    rows = events.withColumn("__m", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("__s", F.floor(F.col("__m") / F.lit(span)))
+    both = rows.withColumn("__k", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__s", F.col("__s") + F.col("__k"))
+    by = Window.partitionBy(key, "__s").orderBy("__m").rangeBetween(-(span - 1), 0)
+    return both.withColumn("recent", F.count("*").over(by)).where("__k = 0").select(*events.columns, "recent")
 
 
 def walk(links: DataFrame, starts: DataFrame, most: int = 5000) -> DataFrame:

@@ -247,7 +247,8 @@ _FP = f"md5(regexp_replace({_strip('text')}, '{_BLANKS}+', ' ', 'g'))[1:16]"
 
 @query(f"select doc_id, fp, row_number() over (partition by fp order by doc_id) as copy_no from (select doc_id, {_FP} as fp from documents where text is not null)")
 def fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    rows = guards.duplicates(table(spark, d, "documents").where("text is not null"), "text", ["doc_id"])
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    rows = guards.duplicates(docs, "text", ["doc_id"], bucket=F.floor(F.col("doc_id") / 10_000))
     return rows.select("doc_id", "fp", F.col("copy_no").cast("long").alias("copy_no"))
 
 
@@ -283,7 +284,7 @@ def chain_results(spark: SparkSession, d: str) -> DataFrame:
 )
 def failure_streaks(spark: SparkSession, d: str) -> DataFrame:
     steps = table(spark, d, "block_results").select("result_id", "domain", "recorded_at", "status").distinct()
-    return guards.streaks(steps, "domain", ["recorded_at", "result_id"], F.coalesce(F.col("status") == "failed", F.lit(False))).select("result_id", "domain", "streak")
+    return guards.streaks(steps, "domain", ["recorded_at", "result_id"], F.coalesce(F.col("status") == "failed", F.lit(False)), F.date_trunc("day", "recorded_at")).select("result_id", "domain", "streak")
 
 
 @query(

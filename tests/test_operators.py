@@ -99,6 +99,16 @@ def test_guards(spark):
     assert sorted((r.story, r.i) for r in left) == [("s", 1), ("s", 2), ("t", 1)]
     e = spark.createDataFrame([("d", k, s) for k, s in enumerate("ok fail fail ok fail".split())], "k string, i int, s string")
     assert [r.streak for r in guards.streaks(e, "k", ["i"], F.col("s") == "fail").orderBy("i").collect()] == [0, 1, 2, 0, 1]
+    import random
+
+    random.seed(3)
+    many = spark.createDataFrame([(random.choice("ab"), k, random.random() < 0.7) for k in range(300)], "k string, i int, f boolean")
+    whole = {(r.k, r.i): r.streak for r in guards.streaks(many, "k", ["i"], F.col("f")).collect()}
+    for size in (1, 7, 50):
+        assert {(r.k, r.i): r.streak for r in guards.streaks(many, "k", ["i"], F.col("f"), F.floor(F.col("i") / size)).collect()} == whole
+    copies = spark.createDataFrame([(k, random.choice(["x", "y", None])) for k in range(200)], "i int, text string")
+    ranks = {r.i: r.copy_no for r in guards.duplicates(copies, "text", ["i"]).collect()}
+    assert {r.i: r.copy_no for r in guards.duplicates(copies, "text", ["i"], bucket=F.floor(F.col("i") / 9)).collect()} == ranks
     t0 = dt.datetime(2024, 1, 1)
     ev = spark.createDataFrame([("u", t0), ("u", t0 + dt.timedelta(seconds=59)), ("u", t0 + dt.timedelta(seconds=60))], "u string, ts timestamp")
     assert sorted(r.recent for r in guards.trailing_count(ev, "u", "ts").collect()) == [1, 2, 2]
