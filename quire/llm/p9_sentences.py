@@ -77,7 +77,8 @@ _EVENT = re.compile(
     r"|((?<=[ก-๛຀-໿])[^\S\n]*\n?[^\S\n]*(?<=\s)(?=[ก-ๅํ-๛຀-໅]))"  # 6 blank between Thai or Lao letters
 )
 _WORD = re.compile(r"[^\W\d_]+(?:[.-][^\W\d_]+)*\Z")
-_HEADING = re.compile(r"\s*(?:บทที่|ตอนที่|\d+[.)])\s*\d*")
+# A numbered title, or a Thai chapter title: a paragraph of its own that ends without a stop.
+_HEADING = re.compile(r"\s*(?:(?:บทที่|ตอนที่)\s*\d+|\d{1,4}[.)](?=\s))[^\n.!?…。！？।]{0,120}(?:\n[^\S\n]*\n|\s*\Z)")
 _NUMBERED = re.compile(r"\s*\d{1,4}[.)]?\Z")
 _ORDINAL = re.compile(r"(?:^|[^\W\d_]|\s)(?:[Aa]m|[Ii]m|[Dd]er|[Dd]ie|[Dd]as|[Dd]em|[Dd]en|[Dd]es|[Vv]om|[Zz]um|[Zz]ur|[Bb]eim|[Ss]eit)\s+\d{1,3}\Z")
 _AT_HOUR = re.compile(r"(?:^|[.!?…][\"”»]?\s|\n)\s*[\"“«]?[A-ZÀ-Þ]\w{0,4}\s+\d[\d:.]*\s+\Z")

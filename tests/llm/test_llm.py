@@ -380,6 +380,8 @@ def units(text):
         ("「走れ！」とトナクは叫んだ。「待て。」とハリンは言った。なぜ？", ["「走れ！」とトナクは叫んだ。", "「待て。」とハリンは言った。", "なぜ？"]),
         ("“भागो!” वेनवी चिल्लाया। पं. वेनरिन ने पृ. 63 पर लिखा। वह रुका... फिर गया।", ["“भागो!” वेनवी चिल्लाया।", "पं. वेनरिन ने पृ. 63 पर लिखा।", "वह रुका... फिर गया।"]),
         ("ทำไมเวนคำจึงแบก เวนมาสพูดว่า “วางเชือก” เฟนใช้เถ้า 17.7 ชั่งแล้ว", ["ทำไมเวนคำจึงแบก", "เวนมาสพูดว่า “วางเชือก”", "เฟนใช้เถ้า 17.7 ชั่งแล้ว"]),
+        ("3.5 coins were paid. He left.\n\n12. He left. Then she came.", ["3.5 coins were paid.", "He left.", "12. He left.", "Then she came."]),
+        ("บทที่ 24 – ตะเกียง แห่งฤดูหนาว\n\n12. ตะเกียง สีเถ้า", ["บทที่ 24 – ตะเกียง แห่งฤดูหนาว", "12. ตะเกียง สีเถ้า"]),
         ("* * *\n\n…\n\nText.", ["Text."]),
         ("", []),
         ("   \n\n  ", []),
