@@ -76,7 +76,7 @@ _EVENT = re.compile(
     r"|([\"“”„«»「」『』])"  # 5 quotation mark
     r"|((?<=[ก-๛຀-໿])[^\S\n]*\n?[^\S\n]*(?<=\s)(?=[ก-ๅํ-๛຀-໅]))"  # 6 blank between Thai or Lao letters
 )
-_WORD = re.compile(r"[^\W\d_]+(?:[.-][^\W\d_]+)*\Z")
+_WORD = re.compile(r"[^\W\d_]+(?:[.-]{1,2}[^\W\d_]+)*\Z")
 # A numbered title, or a Thai chapter title: a paragraph of its own that ends without a stop.
 _HEADING = re.compile(r"\s*(?:(?:บทที่|ตอนที่)\s*\d+|\d{1,4}[.)](?=\s))[^\n.!?…。！？।]{0,120}(?:\n[^\S\n]*\n|\s*\Z)")
 _NUMBERED = re.compile(r"\s*\d{1,4}[.)]?\Z")
@@ -137,13 +137,13 @@ def _ends(text: str, start: int, sign: str, kind: str) -> bool:
     if w in GOES_ON or (kind == "D" and w in BEFORE_NUMBER):
         return False
     last = w.rpartition(".")[2]
-    if "." in w and len(last) == 1:
+    if "." in w and len(last.lstrip("-")) == 1:
         if w not in MAY_END:
             return False
         return not _AT_HOUR.search(text, max(0, word.start() - 24), word.start())
     if "." in w and last in GOES_ON:
         return False
-    if len(w) == 1 or (len(last) == 1 and "-" in w):
+    if all(len(part) == 1 for part in re.split(r"[.-]+", w)):  # an initial, or letters joined by stops and hyphens
         return False
     return True
 

@@ -374,6 +374,7 @@ def units(text):
         ("Chapter 2\n\n3. The Mill\n\nOne\ntwo. Three.", ["Chapter 2", "3. The Mill", "One\ntwo.", "Three."]),
         ("Er zahlte ca. 3 Taler, z. B. für Brot. Am 3. Tag kam er. „Lauf!“, rief er.", ["Er zahlte ca. 3 Taler, z. B. für Brot.", "Am 3. Tag kam er.", "„Lauf!“, rief er."]),
         ("« Cours ! » cria Paul. On racontait cela ! Pourquoi ?", ["« Cours ! » cria Paul.", "On racontait cela !", "Pourquoi ?"]),
+        ("Le prix, c.-à-d. 10,2 pièces, étonna M. Paul. Fin.", ["Le prix, c.-à-d. 10,2 pièces, étonna M. Paul.", "Fin."]),
         ("¡Corre! ¿Por qué? —¡Corre! —gritó Ana. Fin.", ["¡Corre!", "¿Por qué?", "—¡Corre! —gritó Ana.", "Fin."]),
         ("— Беги! — крикнул он. Это на ул. Мира, д. 3. Г. Иванов молчит.", ["— Беги! — крикнул он.", "Это на ул. Мира, д. 3.", "Г. Иванов молчит."]),
         ("白青影低声说：“带上锡冠。”云青尘走了。“快跑！”墨星雪喊道。他等着……然后走了。", ["白青影低声说：“带上锡冠。”", "云青尘走了。", "“快跑！”墨星雪喊道。", "他等着……然后走了。"]),
