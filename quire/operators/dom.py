@@ -189,10 +189,13 @@ def filtered(root: Element, remove: list[str] | None = None, keep: list[str | No
 
     A profile's selector spares what is, or holds, an element that one of `keep` finds first.
     """
+    names: set[str] = set()
     for e in list(root.all()):
+        classes = e.classes()
+        names.update(classes)
+        names.add(e.attrs.get("id", ""))
         if not e.is_alive(root):
             continue
-        classes = e.classes()
         if e.tag in ALWAYS_OUT:
             e.remove()
         elif len(classes) == 1 and e.tag != "p" and _SCRAMBLED.match(classes[0]) and len(e.text().strip()) <= 40:
@@ -200,8 +203,9 @@ def filtered(root: Element, remove: list[str] | None = None, keep: list[str | No
         elif "hidden" in e.attrs or e.attrs.get("aria-hidden") == "true" or _HIDDEN.search(e.attrs.get("style", "")) or HIDDEN_CLASSES & {c.lower() for c in classes}:
             e.remove()
     for selector in NOISE:
-        for e in select(root, selector):
-            e.remove()
+        if names.intersection(re.findall(r"[\w-]+", selector)):  # most pages have none of the names
+            for e in select(root, selector):
+                e.remove()
     if remove:
         spared = [e for s in keep or [] if (e := first(root, s)) is not None]
         for selector in remove:

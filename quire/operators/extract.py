@@ -152,6 +152,8 @@ def _banned(e: Element) -> bool:
 
 def _dropdown(root: Element, url: str) -> str | None:
     """The option after the selected one, or after the one whose value is in the address."""
+    if not any(e.tag == "select" for e in root.all()):
+        return None
     for s in ("select#chapterList", "select.chapter-select", "select[name='chapter']", "select.selectpicker", "select#chapter", "select.chapter-dropdown", "select"):
         box = first(root, s)
         options = select(box, "option") if box is not None else []
