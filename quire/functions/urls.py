@@ -52,6 +52,11 @@ def page_type(url: Column, title: Column | None = None, heading: Column | None =
     return out.otherwise("other")
 
 
+def is_numbered(url: Column) -> Column:
+    """Whether the path ends in a number, as a chapter's does below an index's (`/s/9/chapters/3`, `/novel/x/3.html`)."""
+    return path(url).rlike(r"/\d+(?:\.\w+)?/?$")
+
+
 def next_by_slug(url: Column) -> Column:
     """The address with its chapter number one higher; null where it has none."""
     head, number, tail = (F.regexp_extract(url, SLUG, k) for k in (1, 2, 3))
