@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 
@@ -51,15 +53,15 @@ class Chain:
         n, longest = len(sequences), int(lengths.max()) if len(lengths) else 0
         if n == 0:
             return Chain({}, np.zeros((2, 2)), np.zeros(2), np.zeros(2))
-        cell, column = [], []
+        cell, column = array("q"), array("q")
         y = np.zeros((n, longest), dtype=np.int64)
         for i, (seq, lab) in enumerate(zip(sequences, labels, strict=True)):
             y[i, : len(lab)] = lab
             for t, item in enumerate(seq):
                 found = {vocabulary[f] for f in item if f in vocabulary}
-                cell += [i * longest + t] * len(found)
-                column += found
-        cell_at, column_at = np.array(cell, dtype=np.int64), np.array(column, dtype=np.int64)
+                cell.extend([i * longest + t] * len(found))
+                column.extend(found)
+        cell_at, column_at = np.frombuffer(cell, dtype=np.int64), np.frombuffer(column, dtype=np.int64)
         mask = np.arange(longest)[None, :] < lengths[:, None]
         last = lengths - 1
         w = np.zeros(len(vocabulary) + 8)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,7 +20,8 @@ from quire.llm.p3_markup import languages
 
 MAIN, FURNITURE = 0, 1
 
-_WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
+_MARKS = "".join(c for c in map(chr, range(0x300, 0x10000)) if unicodedata.category(c) in ("Mn", "Mc"))
+_WORD = re.compile(rf"[^\W\d_]+(?:[{_MARKS}]+[^\W\d_]*)*|\d+|[^\w\s]")  # marks stay with their letters
 _CJK = re.compile(r"[぀-ヿ㐀-鿿฀-๿]")
 _SAYS = re.compile(r"[^\W_]")
 _SPACE = re.compile(r"\s+")
@@ -42,10 +45,10 @@ def _bin(n: int) -> str:
 
 
 def text_features(text: str) -> list[str]:
-    """Features of a line's text in its consistent form: words, signs, shape. Long lines show their ends only."""
+    """Features of a line's text in its consistent form: words, signs, shape. Each word and pair of the whole line counts once."""
     plain = fold(form := look(text)).strip()
     tokens: list[str] = []
-    for w in _WORD.findall(plain[:160] + (" " + plain[-60:] if len(plain) > 220 else plain[160:])):
+    for w in _WORD.findall(plain):
         if w[0].isdigit():
             tokens.append("0")
         elif _CJK.match(w):
@@ -54,9 +57,8 @@ def text_features(text: str) -> list[str]:
             tokens.append(w)
     size = len(plain) + 2 * len(_CJK.findall(plain))
     out = ["bias", "len:" + _bin(size), "end:" + (plain[-1] if plain and not plain[-1].isalnum() else "a" if plain and plain[-1].isalpha() else "0")]
-    shown = tokens if len(tokens) <= 24 else tokens[:10] + tokens[-6:]
-    out += ["w:" + t for t in shown]
-    out += ["b:" + a + " " + b for a, b in zip(shown[:7], shown[1:8], strict=False)]
+    out += ["w:" + t for t in dict.fromkeys(tokens)]
+    out += ["b:" + a + " " + b for a, b in dict.fromkeys(zip(tokens, tokens[1:], strict=False))]
     out += ["f:" + t for t in tokens[:1]] + ["l:" + t for t in tokens[-2:]]
     letters = [c for c in form if c.isalpha()]
     if letters:
@@ -80,6 +82,11 @@ def text_features(text: str) -> list[str]:
     return out
 
 
+def _shared_names(features: list[str]) -> list[str]:
+    """The same features, each name held once in memory: a training sample repeats them many times."""
+    return [sys.intern(f) for f in features]
+
+
 def _site_feature(text: str, stem: str) -> list[str]:
     return ["site"] if stem and stem in _SQUASH.sub("", text.lower()) else []
 
@@ -275,7 +282,7 @@ def fit_content(rows: list[tuple[str, str, str]]) -> Chain:
             if i % 5 < 2:
                 told = ["none"] * len(lines)
             beside = content_features(lines, site, told)
-            sequences.append([f if k == "yes" else text_features(t) + f for t, f, k in zip(lines, beside, told, strict=True)])
+            sequences.append([f if k == "yes" else _shared_names(text_features(t)) + f for t, f, k in zip(lines, beside, told, strict=True)])
             labels.append(y)
     return Chain.fit(sequences, labels)
 
@@ -287,7 +294,7 @@ def fit_pages(rows: list[tuple[str, str, str | None]]) -> Chain:
         page = parse(html)
         y = label_page(page, partner) if partner is not None else [MAIN] * len(page.blocks)
         if y is not None and page.blocks:
-            sequences.append([a + b for a, b in zip((text_features(b.text) for b in page.blocks), block_features(page, site), strict=True)])
+            sequences.append([a + b for a, b in zip((_shared_names(text_features(b.text)) for b in page.blocks), block_features(page, site), strict=True)])
             labels.append(y)
     return Chain.fit(sequences, labels)
 
