@@ -177,11 +177,12 @@ def image_extension(content_type: Column, content: Column) -> Column:
 
 def match_images(refs: DataFrame, items: DataFrame) -> DataFrame:
     """`refs` (book, href) with the best item of `items` (book, file, content): the whole name, else without leading
-    dots and folders, else the bare file name. Unmatched references keep nulls."""
+    dots and folders, else that below OEBPS/, else below OPS/, else the bare file name. Unmatched references keep nulls."""
     name = lambda c: F.lower(F.substring_index(c, "/", -1))
     bare = lambda c: F.lower(F.regexp_replace(F.substring_index(c, "#", 1), r"^(?:\.{0,2}/)+", ""))
-    wanted = refs.select("book", "href", F.posexplode(F.array(F.col("href"), bare(F.col("href")), name(F.col("href")))).alias("rank", "key")).distinct()
-    keys = items.select("book", F.posexplode(F.array(F.col("file"), bare(F.col("file")), name(F.col("file")))).alias("rank", "key"), "file", "content")
+    below = lambda folder: F.concat(F.lit(folder), bare(F.col("href")))
+    wanted = refs.select("book", "href", F.posexplode(F.array(F.col("href"), bare(F.col("href")), below("oebps/"), below("ops/"), name(F.col("href")))).alias("rank", "key")).distinct()
+    keys = items.select("book", F.posexplode(F.array(F.col("file"), *[bare(F.col("file"))] * 3, name(F.col("file")))).alias("rank", "key"), "file", "content")
     hits = wanted.join(keys, ["book", "rank", "key"]).groupBy("book", "href").agg(F.min_by(F.struct("file", "content"), F.struct("rank", "file")).alias("hit"))
     return refs.join(hits, ["book", "href"], "left").select(*refs.columns, F.col("hit.file").alias("file"), F.col("hit.content").alias("content"))
 
