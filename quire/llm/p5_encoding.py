@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,21 +12,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.chars import LOOK_ALIKE, codes, look
+from quire.llm.chars import TABLE as LOOK_TABLE
 
-# Symbols: each character of these ranges is its own; others stand for their block of 1024, so the table of pairs has
-# a proven size bound whatever the corpus holds.
+# Symbols: each character of these ranges is its own; others stand for their block of 1024, ideographs of the first levels
+# of the national sets apart from the rare ones that wrong decodings show. So the table of pairs has a proven size bound
+# whatever the corpus holds.
 _OWN = [
     (0x0000, 0x0460), (0x0900, 0x0980), (0x0E00, 0x0E80), (0x1EA0, 0x1F00), (0x2000, 0x2070),
     (0x20A0, 0x20B0), (0x2100, 0x2130), (0x2200, 0x2270), (0x2500, 0x25A0), (0x3000, 0x3100),
 ]
 _BLOCK, _TOP = 1024, 0x30000
-SYMBOLS = sum(h - low for low, h in _OWN) + _TOP // _BLOCK + 2
+_HAN_BLOCKS = (0xA000 - 0x3400) // _BLOCK
+SYMBOLS = sum(h - low for low, h in _OWN) + _TOP // _BLOCK + _HAN_BLOCKS + 2
+
+
+def _everyday() -> list[int]:
+    """Ideographs of the first level of GB 2312, Big5 and JIS X 0208, as the codecs lay them out."""
+    out: set[str] = set()
+    for name, leads, trails in (("gb2312", range(0xB0, 0xD8), range(0xA1, 0xFF)), ("big5", range(0xA4, 0xC7), (*range(0x40, 0x7F), *range(0xA1, 0xFF))), ("euc_jp", range(0xB0, 0xD0), range(0xA1, 0xFF))):
+        for a in leads:
+            for b in trails:
+                out.update(bytes((a, b)).decode(name, "ignore"))
+    return [ord(c) for c in out if 0x3400 <= ord(c) < 0xA000]
 
 
 def _symbols() -> np.ndarray:
     table = np.full(0x110000, SYMBOLS - 2, dtype=np.int32)
     n = sum(h - low for low, h in _OWN)
     table[:_TOP] = n + np.arange(_TOP) // _BLOCK
+    usual = np.array(_everyday())
+    table[usual] = n + _TOP // _BLOCK + (usual - 0x3400) // _BLOCK
     k = 0
     for low, high in _OWN:
         table[low:high] = np.arange(k, k + high - low)
@@ -49,20 +65,115 @@ def symbols(at: np.ndarray) -> np.ndarray:
     return _TABLE[at]
 
 
+def _sloppy(name: str) -> dict[int, int]:
+    """Characters of a single-byte encoding to bytes; bytes it leaves undefined pass as control characters."""
+    out = {}
+    for byte in range(256):
+        try:
+            c = bytes([byte]).decode(name)
+        except UnicodeDecodeError:
+            c = chr(byte)
+        out[ord(c)] = byte
+    return out
+
+
+# Encodings texts are wrongly read with, the byte each character stands for.
+_WRONG = {name: _sloppy(name) for name in ("cp1252", "cp1251", "mac_roman", "cp437", "koi8_r", "cp850", "cp866", "cp1250", "cp1258", "cp874", "iso8859_5")}
+for _byte in range(0x80, 0x100):  # Latin-1 beside cp1252, as browsers and repair chains mix them
+    _WRONG["cp1252"].setdefault(_byte, _byte)
+
+
+def _bytes(text: str, table: dict[int, int]) -> bytes | None:
+    try:
+        return bytes([table[ord(c)] for c in text])
+    except KeyError:
+        return None
+
+
+class Doubt:
+    """Marks runs of non-ASCII characters that are strict UTF-8 once a wrong single-byte encoding is undone.
+
+    Sound text holds next to no such run, whatever its language. Whether a distinct run is one is decided once.
+    """
+
+    _FROM = ("cp1252", "cp1251", "mac_roman", "cp850", "cp1250", "cp1258", "cp437")
+
+    def __init__(self, keep: int = 500_000):
+        self.keep, self.known = keep, {}
+        self.kinds = []
+        for name in self._FROM:
+            kind = np.zeros(0x10000, dtype=np.uint8)  # 1 trail byte, 2 lead byte of UTF-8
+            for c, byte in _WRONG[name].items():
+                kind[c] = 1 if 0x80 <= byte <= 0xBF else 2 if 0xC2 <= byte <= 0xF4 else 0
+            kind[:0x80] = 0
+            self.kinds.append(kind)
+
+    def _invertible(self, run: str) -> bool:
+        for name in self._FROM:
+            raw = _bytes(run, _WRONG[name])
+            if raw is not None:
+                try:
+                    raw.decode("utf-8")
+                    return True
+                except UnicodeDecodeError:
+                    pass
+        return False
+
+    def mark(self, text: str, at: np.ndarray) -> np.ndarray | None:
+        """Whether each character belongs to such a run; None where none does."""
+        high = np.flatnonzero(at > 127)
+        if len(high) < 2:
+            return None
+        small = np.minimum(at[high], 0xFFFF)
+        beside = np.diff(high) == 1
+        hit = np.zeros(len(high) - 1, dtype=bool)
+        for kind in self.kinds:
+            k = kind[small]
+            hit |= (k[:-1] == 2) & (k[1:] == 1)
+        hit &= beside
+        if not hit.any():
+            return None
+        starts = np.flatnonzero(np.concatenate(([True], ~beside)))
+        ends = np.concatenate((starts[1:], [len(high)]))
+        runs = np.unique(np.searchsorted(starts, np.flatnonzero(hit), side="right") - 1)
+        out = np.zeros(len(at), dtype=bool)
+        for a, b in zip(high[starts[runs]].tolist(), (high[ends[runs] - 1] + 1).tolist(), strict=True):
+            run = text[a:b]
+            bad = self.known.get(run)
+            if bad is None:
+                if len(self.known) >= self.keep:
+                    self.known.clear()
+                bad = self.known[run] = self._invertible(run)
+            if bad:
+                out[a:b] = True
+        return out
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts -> counts of adjacent symbol pairs, summed within the partition before anything is sent."""
-    total: dict[int, int] = {}
+    """Texts -> counts of adjacent symbol pairs, summed within the partition before anything is sent.
+
+    Pairs that touch a run which reads as UTF-8 in a wrong encoding are left out, so garbled text that is common does
+    not make its own pairs look probable.
+    """
+    total = np.zeros(SYMBOLS * SYMBOLS, dtype=np.int64)
+    doubt = Doubt()
     for batch in batches:
         parts = [t for col in batch.columns for t in col.to_pylist() if t]
-        if not parts:
-            continue
-        s = symbols(codes("\n" + "\n".join(parts) + "\n")).astype(np.int64)
-        pair, n = np.unique(s[:-1] * SYMBOLS + s[1:], return_counts=True)
-        for p, c in zip(pair.tolist(), n.tolist(), strict=True):
-            total[p] = total.get(p, 0) + c
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["pair", "n"]
-    )
+        size, first = 0, 0
+        for k, t in enumerate(parts, 1):  # parts of a few million characters bound the memory
+            size += len(t)
+            if size > 4_000_000 or k == len(parts):
+                text = "\n" + "\n".join(parts[first:k]) + "\n"
+                at = codes(text)
+                s = symbols(at).astype(np.int64)
+                pair = s[:-1] * SYMBOLS + s[1:]
+                out = doubt.mark(text, at)
+                if out is not None:
+                    pair = pair[~(out[:-1] | out[1:])]
+                total += np.bincount(pair, minlength=len(total))
+                size, first = 0, k
+    seen = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["pair", "n"])
 
 
 def pair_counts(df: DataFrame, text_cols: list[str]) -> DataFrame:
@@ -99,6 +210,11 @@ class Model:
         self.bits_table[a, b] = self.first_log[a] - seen
         self.bits_table += WITHIN[None, :]
 
+    def between(self, before: str, after: str, text: str) -> float:
+        """Code length of a text between two characters."""
+        s = symbols(codes(before + text + after))
+        return float(self.bits_table[s[:-1], s[1:]].sum())
+
     def bits(self, text: str) -> float:
         """Code length of a text that stands between line feeds."""
         s = symbols(codes(f"\n{text}\n"))
@@ -148,129 +264,157 @@ class Model:
         return [(max(0, a - 1), min(len(line), b)) for a, b, _, _ in stack]
 
 
-def _sloppy(name: str) -> dict[int, int]:
-    """Characters of a single-byte encoding to bytes; bytes it leaves undefined pass as control characters."""
-    out = {}
-    for byte in range(256):
-        try:
-            c = bytes([byte]).decode(name)
-        except UnicodeDecodeError:
-            c = chr(byte)
-        out[ord(c)] = byte
-    return out
-
-
-# Encodings texts are wrongly read with, the byte each character stands for.
-_WRONG = {name: _sloppy(name) for name in ("cp1252", "cp1251", "mac_roman", "cp437", "koi8_r", "cp850", "cp866", "cp1250", "cp1258", "cp874", "iso8859_5")}
-for _byte in range(0x80, 0x100):  # Latin-1 beside cp1252, as browsers and repair chains mix them
-    _WRONG["cp1252"].setdefault(_byte, _byte)
 _WIDE = ("gb18030", "cp932", "big5")
 _RIGHT = ("utf-8", "gb18030", "cp932", "cp1251", "koi8_r", "cp874", "cp1252", "big5", "euc_kr", "euc_jp", "cp1258", "cp866")
+_DOUBLE = ("gb18030", "cp932", "big5", "euc_kr", "euc_jp")
+_UTF8_READ_AS = ("cp1252", "cp1251", "mac_roman", "cp437", "cp850", "koi8_r", "cp866")
+# Characters that look like others, to them; width forms to their letters.
+_LOOKS = {**LOOK_TABLE, **{c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}}
 _NON_ASCII = re.compile(r"[^\x00-\x7f]")
-CERTAIN = re.compile("[�\x80-\x84\x86-\x9f]|ï¿½")
+CERTAIN = re.compile("[�\x80-\x84\x86-\x9f]|ï¿½|â€")
 _MIXED = re.compile(r"[A-Za-z][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-z]")  # scripts that do not meet within a word
 _HAN = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
 _HIGH = re.compile(r"[^\x00-\x7f]+")
 
 
-def _bytes(text: str, table: dict[int, int]) -> bytes | None:
-    try:
-        return bytes([table[ord(c)] for c in text])
-    except KeyError:
-        return None
-
-
 def _telling(run: str) -> bool:
     """Whether a run holds anything besides look-alikes, width forms and blanks, which say nothing of an encoding."""
     return any(ord(c) > 127 and c not in LOOK_ALIKE and not look(c).isascii() or c in "¡²³´¹º»¼½¾¨¯¸ª" for c in run)
 
 
-def _views(line: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Runs of a line to try: around the improbable segments, first the runs without ASCII, then with all between."""
-    wide = [(m.start(), m.end()) for m in _HIGH.finditer(line)]
-    if not wide:
-        return []
-    hit = [r for r in wide if any(a < r[1] and b > r[0] for a, b in spans)] or []
-    if not hit:
-        return []
-    return [(hit[0][0], hit[-1][1])]
+def _hits(line: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The runs of a line without ASCII that an improbable segment touches."""
+    return [(m.start(), m.end()) for m in _HIGH.finditer(line) if any(a < m.end() and b > m.start() for a, b in spans)]
 
 
-def undo(line: str, model: Model, spans: list[tuple[int, int]], margin: float = 6.0, depth: int = 3) -> str | None:
-    """The line as it was before the wrong decoding, or None where no inverse mapping makes it more probable.
+def _plain(line: str) -> str:
+    """The line with look-alikes and width forms as the letters they look like: another reading of improbable pairs."""
+    return unicodedata.normalize("NFC", line.translate(_LOOKS))
 
-    Inverse mappings are tried inside the improbable runs only: UTF-8 in each run by itself, other encodings from the
-    first run to the last, and once more after the last run where a two-byte character may end in an ASCII letter. A
-    mapping is taken if the corpus codes the line in fewer bits by `margin` and by a bit a character; it may have
-    happened more than once.
-    """
-    best, least = None, None
-    before = model.bits(line)
-    for a, b in _views(line, spans):
-        body = line[a:b]
-        if not _telling(body):
-            continue
-        strange = len(_NON_ASCII.findall(body))
-        for wrong in (*_WRONG, *_WIDE):
-            for end in (b, min(len(line), b + 1)):
-                part = line[a:end]
-                if wrong in _WIDE:
-                    if end > b or not _HAN.search(part):
-                        continue
+
+class Restorer:
+    """Undoes wrong decodings inside improbable runs. What a run in its surroundings can become is worked out once."""
+
+    def __init__(self, model: Model, margin: float = 6.0, depth: int = 3, keep: int = 100_000):
+        self.model, self.margin, self.depth, self.keep = model, margin, depth, keep
+        self.parts: dict[tuple[str, str, str], tuple[float, str, int] | None] = {}
+        self.runs: dict[str, tuple[str, ...] | None] = {}
+        self.lines: dict[str, tuple[str | None, bool]] = {}
+
+    def _part(self, before: str, body: str, after: str) -> tuple[float, str, int] | None:
+        """(bits saved, decoded text, characters taken after the body) of the best inverse mapping of a stretch, or None.
+
+        A mapping that ends in a two-byte character may take one ASCII letter after the stretch.
+        """
+        key = (before, body, after)
+        if key in self.parts:
+            return self.parts[key]
+        if len(self.parts) >= self.keep:
+            self.parts.clear()
+        best = None
+        if _telling(body):
+            strange = max(self.margin, 1.0 * len(_NON_ASCII.findall(body)))
+            for more in (0, 1) if after[:1].strip() else (0,):
+                part = body + after[:more]
+                around = (before or "\n", after[more : more + 1] or "\n")
+                now = None
+                for wrong in _WIDE if _HAN.search(part) and not more else ():
                     try:
                         raw = part.encode(wrong)
                     except UnicodeEncodeError:
                         continue
-                else:
-                    raw = _bytes(part, _WRONG[wrong])
-                    if raw is None:
-                        continue
-                for right in _RIGHT:
-                    if right == wrong or (wrong in _WIDE and right != "utf-8"):
-                        continue
-                    if end > b and right not in ("gb18030", "cp932", "big5", "euc_kr", "euc_jp"):
-                        continue
-                    try:
-                        text = raw.decode(right)
-                    except UnicodeDecodeError:
-                        continue
-                    if text == part or "\n" in text:
-                        continue
-                    if len(_MIXED.findall(text)) > len(_MIXED.findall(part)):
-                        continue
-                    whole = line[:a] + text + line[end:]
-                    if len(_MIXED.findall(whole)) > len(_MIXED.findall(line)):
-                        continue
-                    cost = model.bits(whole)
-                    if (least is None or cost < least) and before - cost >= max(margin, 1.0 * strange):
-                        best, least = whole, cost
-            # UTF-8 run by run: the runs between may be sound
-        table_best = _utf8_runs(line, model, before, margin, depth)
-        if table_best is not None and (least is None or table_best[1] < least):
-            best, least = table_best
-    if best is None:
-        return None
-    if depth > 1 and _NON_ASCII.search(best):
-        again = undo(best, model, model.segments(best), margin, depth - 1)
-        if again is not None:
-            return again
-    return best
-
-
-def _utf8_runs(line: str, model: Model, before: float, margin: float, depth: int) -> tuple[str, float] | None:
-    """The best of UTF-8 undone run by run, as often as it can be."""
-    best = None
-    for wrong in ("cp1252", "cp1251", "mac_roman", "cp437", "cp850", "koi8_r", "cp866"):
-        whole = line
-        for _ in range(depth):
-            once = _HIGH.sub(lambda m, table=_WRONG[wrong]: _utf8(m.group(), table), whole)
-            if once == whole or "\n" in once:
-                break
-            whole = once
-            cost = model.bits(whole)
-            if before - cost >= margin and (best is None or cost < best[1]):
-                best = (whole, cost)
-    return best
+                    best, now = self._decoded(raw, part, around, ("utf-8",), strange, more, best, now)
+                for wrong, table in _WRONG.items():
+                    raw = _bytes(part, table)
+                    if raw is not None:
+                        right = tuple(r for r in (_DOUBLE if more else _RIGHT) if r != wrong)
+                        best, now = self._decoded(raw, part, around, right, strange, more, best, now)
+        self.parts[key] = best
+        return best
+
+    def _decoded(self, raw: bytes, part: str, around: tuple[str, str], rights: tuple[str, ...], least: float, more: int, best, now):
+        for right in rights:
+            try:
+                text = raw.decode(right)
+            except UnicodeDecodeError:
+                continue
+            if text == part or "\n" in text:
+                continue
+            if now is None:
+                now = (self.model.between(*around, part), len(_MIXED.findall(around[0] + part + around[1])))
+            if len(_MIXED.findall(around[0] + text + around[1])) > now[1]:
+                continue
+            saved = now[0] - self.model.between(*around, text)
+            if saved >= least and (best is None or saved > best[0]):
+                best = (saved, text, more)
+        return best, now
+
+    def _utf8_run(self, run: str) -> tuple[str, ...] | None:
+        """What a run is once each encoding of _UTF8_READ_AS is undone; None where none can be."""
+        if run in self.runs:
+            return self.runs[run]
+        if len(self.runs) >= self.keep:
+            self.runs.clear()
+        made = tuple(_utf8(run, _WRONG[name]) for name in _UTF8_READ_AS)
+        self.runs[run] = out = None if all(x == run for x in made) else made
+        return out
+
+    def _utf8_runs(self, line: str, bits: float) -> tuple[float, str] | None:
+        """The best of UTF-8 undone run by run, as often as it can be: the runs between may be sound."""
+        if all(self._utf8_run(r) is None for r in _HIGH.findall(line)):
+            return None
+        best = None
+        for k in range(len(_UTF8_READ_AS)):
+            whole = line
+            for _ in range(self.depth):
+                once = _HIGH.sub(lambda m, k=k: (self._utf8_run(m.group()) or (m.group(),) * (k + 1))[k], whole)
+                if once == whole or "\n" in once:
+                    break
+                whole = once
+                saved = bits - self.model.bits(whole)
+                if saved >= self.margin and (best is None or saved > best[0]):
+                    best = (saved, whole)
+        return best
+
+    def undo(self, line: str, depth: int | None = None) -> str | None:
+        """The line as it was before the wrong decoding, or None where no inverse mapping makes it more probable.
+
+        Inverse mappings are tried inside the improbable runs only: UTF-8 in each run by itself, other encodings from the
+        first such run to the last (a text is read in one wrong encoding, and a lone short run fits many). A mapping is taken if the corpus codes the line in fewer bits by
+        `margin` and by a bit a character, also against the line with look-alikes undone; it may have happened more than
+        once.
+        """
+        depth = self.depth if depth is None else depth
+        model = self.model
+        hits = _hits(line, model.segments(line))
+        if not hits:
+            return None
+        bits = model.bits(line)
+        best = self._utf8_runs(line, bits)
+        a, b = hits[0][0], hits[-1][1]
+        found = self._part(line[a - 1 : a], line[a:b], line[b : b + 2])
+        if found is not None and (best is None or found[0] > best[0]):
+            best = (found[0], line[:a] + found[1] + line[b + found[2] :])
+        if best is None:
+            return None
+        other = _plain(line)
+        if other != line and model.bits(other) - model.bits(best[1]) < self.margin:
+            return None
+        if depth > 1 and _NON_ASCII.search(best[1]):
+            again = self.undo(best[1], depth - 1)
+            if again is not None:
+                return again
+        return best[1]
+
+    def line(self, line: str) -> tuple[str | None, bool]:
+        """(restored line or None, whether the line shows a wrong decoding that is not undone)."""
+        if line in self.lines:
+            return self.lines[line]
+        if len(self.lines) >= self.keep:
+            self.lines.clear()
+        fixed = self.undo(line)
+        out = self.lines[line] = (fixed, CERTAIN.search(line if fixed is None else fixed) is not None)
+        return out
 
 
 def _utf8(run: str, table: dict[int, int]) -> str:
@@ -283,22 +427,20 @@ def _utf8(run: str, table: dict[int, int]) -> str:
         return run
 
 
-def repair(text: str, model: Model, gains: np.ndarray | None = None, least: float = 0.35) -> tuple[bool, str, bool]:
+def repair(text: str, restorer: Restorer, gains: np.ndarray | None = None, least: float = 0.75) -> tuple[bool, str, bool]:
     """(affected, text restored where possible, whether every affected line was restored)."""
     lines = text.split("\n")
     if gains is None:
-        gains = model.gains(lines)
+        gains = restorer.model.gains(lines)
     hit, whole = False, True
     for i, line in enumerate(lines):
-        certain = CERTAIN.search(line) is not None
-        if not certain and (gains[i] < least or line.isascii()):
+        if line.isascii() or gains[i] < least and CERTAIN.search(line) is None:
             continue
-        fixed = undo(line, model, model.segments(line))
+        fixed, left = restorer.line(line)
         if fixed is not None:
             hit = True
             lines[i] = fixed
-            whole = whole and CERTAIN.search(fixed) is None
-        elif certain:
+        if left:
             hit, whole = True, False
     return hit, "\n".join(lines), whole
 
@@ -325,6 +467,7 @@ def garbled_fields(df: DataFrame, id_col: str, text_cols: list[str], restored: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
+        restorer = Restorer(model)
         for batch in batches:
             row, field, text, whole = [], [], [], []
             for k, name in enumerate(text_cols):
@@ -337,7 +480,7 @@ def garbled_fields(df: DataFrame, id_col: str, text_cols: list[str], restored: b
                     gains = model.gains([x for each in lines for x in each])
                     i = 0
                     for t, each in zip(part, lines, strict=True):
-                        done.append(repair(t, model, gains[i : i + len(each)]))
+                        done.append(repair(t, restorer, gains[i : i + len(each)]))
                         i += len(each)
                 for i, c in enumerate(coded.indices.to_pylist()):
                     if c is not None and done[c][0]:
