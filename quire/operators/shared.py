@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StructField, StructType
 
@@ -16,9 +17,16 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests on one machine) a folder of our own."""
+    """The folder of ``spark.checkpoint.dir``.
+
+    Where it is unset, a folder of our own, but only if all executors run inside this process (``local`` masters, as in
+    tests): on a cluster a folder of one machine would lose rows, so there the setting is required.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quire-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -37,6 +45,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized_broadcast(df: DataFrame, name: str, most_rows: int = 100_000) -> DataFrame:
+    """`df`, written to the shared folder, with a broadcast hint only where it turned out to have at most `most_rows` rows.
+
+    For the small side of a join whose size follows the data: beyond the bound the join is left to a shuffle. Rows must
+    be short (keys and a few values), so that the bound on rows is one on bytes.
+    """
+    written = materialize(df, name)
+    return F.broadcast(written) if written.count() <= most_rows else written
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
