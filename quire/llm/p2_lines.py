@@ -6,12 +6,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.chars import codes, fold, h64, is_letter, look, per_distinct
-from quire.operators.shared import materialize
+from quire.operators.shared import materialize, sized_broadcast
 
 _BLANKS = re.compile(r"[^\S\n]+")
 _DIGITS = re.compile(r"\d+")
@@ -19,17 +20,39 @@ SLOT = "\u0000"  # stands for one run of digits
 PIECE = 6
 
 
+class Leaf:
+    """A leaf of a tree: its path as a key, the template of the lines that reached it, and in how many rows they stand.
+
+    Where those lines differ beyond the path the template has a wildcard slot (None); merging is by position, so it
+    comes out the same in any order.
+    """
+
+    __slots__ = ("key", "tokens", "rows", "sample")
+
+    def __init__(self, key: int):
+        self.key, self.tokens, self.rows, self.sample = key, None, 0, ""
+
+    def cover(self, tokens: list[str | None], rows: int, sample: str) -> None:
+        if self.tokens is None:
+            self.tokens, self.sample = list(tokens), sample
+        else:
+            self.tokens = [a if a == b else None for a, b in zip(self.tokens, tokens, strict=False)]
+            self.sample = min(self.sample, sample)
+        self.rows += rows
+
+
 class TokenTree:
-    """Lines parsed into templates: token count -> first tokens, to a fixed depth -> templates with wildcard slots.
+    """Lines parsed by a tree of fixed depth: number of tokens -> first tokens -> a leaf with a template of wildcard slots.
 
     A token is a slot (a run of digits) or a piece of up to six characters of a line that was made consistent, folded
-    and freed of blanks, so lines that differ only in case, blanks, digits or look-alike characters walk one path and
-    meet one template. Trees of several partitions merge by adding the counts of equal templates, in any order.
+    and freed of blanks, so lines that differ only in case, blanks, digits or look-alike characters walk one path. Trees
+    of several partitions merge leaf by leaf: equal paths have equal keys.
     """
 
     def __init__(self, depth: int = 3):
         self.depth = depth
         self.root: dict = {}
+        self.leaves: list[Leaf] = []
 
     @staticmethod
     def tokens(line: str) -> list[str]:
@@ -40,32 +63,21 @@ class TokenTree:
             out += [part[i : i + PIECE] for i in range(0, len(part), PIECE)]
         return out
 
-    def add(self, line: str, count: int = 1) -> None:
-        tokens = self.tokens(line)
-        node = self.root.setdefault(len(tokens), {})
+    def leaf(self, tokens: list[str]) -> Leaf:
+        """The leaf where a line ends; the path is laid where it is new."""
+        node = self.root.get(len(tokens))
+        if node is None:
+            node = self.root[len(tokens)] = {}
         for t in tokens[: self.depth]:
-            node = node.setdefault(t, {})
-        leaf = node.setdefault(None, {})
-        rest = tuple(tokens[self.depth :])
-        leaf[rest] = leaf.get(rest, 0) + count
-
-    def templates(self) -> Iterator[tuple[str, int]]:
-        """Each template with its count."""
-
-        def walk(node: dict, path: tuple[str, ...]) -> Iterator[tuple[str, int]]:
-            for key, below in node.items():
-                if key is None:
-                    yield from (("".join(path + rest), n) for rest, n in below.items())
-                else:
-                    yield from walk(below, (*path, key))
-
-        for node in self.root.values():
-            yield from walk(node, ())
-
-    def merge(self, other: TokenTree) -> TokenTree:
-        for template, n in other.templates():
-            self.add(template, n)
-        return self
+            below = node.get(t)
+            if below is None:
+                below = node[t] = {}
+            node = below
+        end = node.get(None)
+        if end is None:
+            end = node[None] = Leaf(h64("\x01".join((str(len(tokens)), *tokens[: self.depth]))))
+            self.leaves.append(end)
+        return end
 
 
 def normal_lines(text: str) -> list[str]:
@@ -88,60 +100,66 @@ def letters_per_line(texts: list[str]) -> list[list[int]]:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, site, text) -> one row per line with letters: site, kind, id, line_no, letters, whether first in its row."""
-    names = ["site", "kind", "id", "line_no", "letters", "first"]
+    """(id, site, text) -> one row per line with letters: where it ended in the tree, its kind, place and letters.
+
+    `new` is 2 where the row reaches the leaf for the first time, 1 where it only shows another kind for the first time.
+    """
+    names = ["site", "leaf", "kind", "id", "line_no", "letters", "new"]
     for batch in batches:
         texts = batch.column(2).to_pylist()
         letters = letters_per_line(texts)
-        kinds: dict[str, int] = {}
+        tree = TokenTree()  # paths do not depend on the site, so one tree serves the batch
+        known: dict[str, tuple[int, int]] = {}
         row: list[int] = []
-        kind: list[int] = []
+        at: list[tuple[int, int]] = []
         line_no: list[int] = []
         many: list[int] = []
-        first: list[int] = []
+        new: list[int] = []
         for i, lines in enumerate(per_distinct(batch.column(2), normal_lines)):
-            seen = set()
+            leaves, kinds = set(), set()
             for no, (line, n) in enumerate(zip(lines, letters[i], strict=True), 1):
                 if n:
-                    k = kinds.get(line)
+                    k = known.get(line)
                     if k is None:
-                        k = kinds[line] = h64(line)
+                        k = known[line] = (tree.leaf(TokenTree.tokens(line)).key, h64(line))
                     row.append(i)
-                    kind.append(k)
+                    at.append(k)
                     line_no.append(no)
                     many.append(n)
-                    first.append(int(k not in seen))
-                    seen.add(k)
+                    new.append(2 if k[0] not in leaves else 1 if k[1] not in kinds else 0)
+                    leaves.add(k[0])
+                    kinds.add(k[1])
         take = pa.array(row, pa.int64())
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(1).take(take),
-                pa.array(kind, pa.int64()),
+                pa.array([k[0] for k in at], pa.int64()),
+                pa.array([k[1] for k in at], pa.int64()),
                 batch.column(0).take(take),
                 pa.array(line_no, pa.int32()),
                 pa.array(many, pa.int32()),
-                pa.array(first, pa.int8()),
+                pa.array(new, pa.int8()),
             ],
             names=names,
         )
 
 
+def _sited(df: DataFrame, site: Column, text_col: str, *more: Column) -> DataFrame:
+    chosen = df.select(*more, F.coalesce(site, F.lit("")).alias("site"), F.col(text_col).alias("text"))
+    return chosen.where("text is not null")
+
+
 def site_lines(df: DataFrame, id_col: str, site: Column, text_col: str) -> DataFrame:
-    """One row per line with letters of each non-null text: site, kind (hash of the template), id, line_no, letters."""
+    """One row per line with letters of each non-null text: site, leaf (hash of the tree path), kind (hash of the line
+    with its digits as slots), id, line_no, letters, new."""
     kind = df.schema[id_col].dataType.simpleString()
-    chosen = df.select(F.col(id_col).alias("id"), F.coalesce(site, F.lit("")).alias("site"), F.col(text_col).alias("text"))
-    return chosen.where("text is not null").mapInArrow(_lines, f"site string, kind long, id {kind}, line_no int, letters int, first byte")
-
-
-def repeated_kinds(lines: DataFrame, totals: DataFrame, min_rows: int, min_share: float) -> DataFrame:
-    """(site, kind, rows) of templates in at least `min_rows` rows and `min_share` of a site's rows."""
-    counts = lines.where("first = 1").groupBy("site", "kind").agg(F.count("*").alias("rows"))
-    return (
-        counts.where(F.col("rows") >= min_rows)
-        .join(totals, "site")
-        .where(F.col("rows") >= F.lit(min_share) * F.col("total"))
-        .select("site", "kind", "rows")
-    )
+    chosen = _sited(df, site, text_col, F.col(id_col).alias("id")).select("id", "site", "text")
+    return chosen.mapInArrow(_lines, f"site string, leaf long, kind long, id {kind}, line_no int, letters int, new byte")
+
+
+def _covering(counts: DataFrame, totals: DataFrame, min_rows: int, min_share: float) -> DataFrame:
+    """The counts (with `site` and `rows`) of at least `min_rows` rows and `min_share` of a site's rows."""
+    return counts.where(F.col("rows") >= min_rows).join(totals, "site").where(F.col("rows") >= F.lit(min_share) * F.col("total"))
 
 
 def repeated_lines(
@@ -149,59 +167,68 @@ def repeated_lines(
 ) -> DataFrame:
     """(id, line_no) of each line whose template its site puts into many of its rows.
 
-    A template is counted once per row; a row is one row of `df` with non-null text, repeated rows count each. Texts
-    without a site form the site ''. Counts are made over all rows, pre-aggregated before each exchange; the lines'
-    hashes are written once to the shared folder as both passes read them.
+    Lines end in the leaves of token trees; the trees of all partitions are merged by adding the rows of equal leaves of
+    a site, and leaves that cover many rows are kept. A leaf's template may have slots that take other words, while
+    lines are the same here only up to digits: an exact check follows, which counts the kinds within the kept leaves.
+    A leaf and a kind count once per row; a row is one row of `df` with non-null text, repeated rows count each. Texts
+    without a site form the site ''. All rows are counted, pre-aggregated before each exchange; the lines' hashes are
+    written once to the shared folder, as several passes read them. At most 1 / `min_share` leaves for each line of an
+    average row are kept per site; they are broadcast where their number is checked to be small, else shuffled.
     """
     lines = materialize(site_lines(df, id_col, site, text_col), "p2-lines")
-    totals = (
-        df.where(F.col(text_col).isNotNull())
-        .select(F.coalesce(site, F.lit("")).alias("site"))
-        .groupBy("site")
-        .agg(F.count("*").alias("total"))
-    )
-    kinds = repeated_kinds(lines, totals, min_rows, min_share)
-    return (
-        lines.where(F.col("letters") >= min_letters)
-        .join(kinds.select("site", "kind"), ["site", "kind"], "left_semi")
-        .select("id", "line_no")
-    )
+    totals = _sited(df, site, text_col).groupBy("site").agg(F.count("*").alias("total"))
+    leaves = lines.where("new = 2").groupBy("site", "leaf").agg(F.count("*").alias("rows"))
+    kept = sized_broadcast(_covering(leaves, totals, min_rows, min_share).select("site", "leaf", "total"), "p2-leaves")
+    within = lines.join(kept, ["site", "leaf"])
+    kinds = within.where("new > 0").groupBy("site", "kind").agg(F.count("*").alias("rows"), F.first("total").alias("total"))
+    same = kinds.where((F.col("rows") >= min_rows) & (F.col("rows") >= F.lit(min_share) * F.col("total")))
+    same = sized_broadcast(same.select("site", "kind"), "p2-kinds")
+    return within.where(F.col("letters") >= min_letters).join(same, ["site", "kind"], "left_semi").select("id", "line_no")
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(site, text) -> the templates of one token tree per site and batch, counted once per row."""
+    """(site, text) -> the leaves of one token tree per site and batch: key, template, a sample line, rows."""
     for batch in batches:
         trees: dict[str, TokenTree] = {}
-        samples: dict[tuple[str, str], str] = {}
         for site, text, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), per_distinct(batch.column(1), normal_lines), strict=True):
             tree = trees.setdefault(site, TokenTree())
             raw = text.split("\n")
+            seen = set()
             for line, k in {line: k for k, line in enumerate(lines)}.items():
                 if line.replace(SLOT, ""):
-                    tree.add(line)
-                    samples.setdefault((site, line), raw[k])
-        rows = [(s, h64(t), t.replace(SLOT, "<*>"), samples[s, t], n) for s, tree in trees.items() for t, n in tree.templates()]
+                    tokens = TokenTree.tokens(line)
+                    leaf = tree.leaf(tokens)
+                    leaf.cover(tokens, int(leaf.key not in seen), raw[k])
+                    seen.add(leaf.key)
+        rows = [(s, x.key, x.tokens, x.sample, x.rows) for s, tree in trees.items() for x in tree.leaves]
         columns = zip(*rows, strict=True) if rows else [[]] * 5
-        kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
+        kinds = (pa.string(), pa.int64(), pa.list_(pa.string()), pa.string(), pa.int64())
         arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays(arrays, names=["site", "kind", "template", "sample", "rows"])
+        yield pa.RecordBatch.from_arrays(arrays, names=["site", "leaf", "template", "sample", "rows"])
+
+
+def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The templates of one leaf of one site, at most one a batch, merged."""
+    leaf = Leaf(0)
+    for template, sample in zip(pdf["template"], pdf["sample"], strict=True):
+        leaf.cover(template, 0, sample)
+    text = "".join("<*>" if t is None or t == SLOT else t for t in leaf.tokens)
+    return pd.DataFrame({"site": [pdf["site"].iloc[0]], "template": [re.sub(r"(?:<\*>)+", "<*>", text)], "sample": [leaf.sample], "rows": [pdf["all"].iloc[0]], "total": [pdf["total"].iloc[0]]})
 
 
 def line_templates(df: DataFrame, site: Column, text_col: str, min_rows: int = 5, min_share: float = 0.05) -> DataFrame:
     """The templates that cover many documents of their site: site, template (slots as <*>), a sample line, rows, share.
 
-    Each batch builds its trees; trees merge by adding the counts of equal templates.
+    Each batch builds its trees. Trees merge leaf by leaf: rows are added first, and only of the leaves that cover many
+    documents the templates (at most one a batch) are brought together and merged.
     """
-    texts = df.where(F.col(text_col).isNotNull()).select(F.coalesce(site, F.lit("")).alias("site"), F.col(text_col).alias("text"))
-    trees = texts.mapInArrow(_trees, "site string, kind long, template string, sample string, rows long")
-    merged = trees.groupBy("site", "kind").agg(F.sum("rows").alias("rows"), F.min("template").alias("template"), F.min("sample").alias("sample"))
+    texts = _sited(df, site, text_col)
+    trees = materialize(texts.mapInArrow(_trees, "site string, leaf long, template array<string>, sample string, rows long"), "p2-trees")
     totals = texts.groupBy("site").agg(F.count("*").alias("total"))
-    return (
-        merged.where(F.col("rows") >= min_rows)
-        .join(totals, "site")
-        .where(F.col("rows") >= F.lit(min_share) * F.col("total"))
-        .select("site", "template", "sample", "rows", F.round(F.col("rows") / F.col("total"), 4).alias("share"))
-    )
+    leaves = trees.groupBy("site", "leaf").agg(F.sum("rows").alias("rows"))
+    kept = sized_broadcast(_covering(leaves, totals, min_rows, min_share).select("site", "leaf", F.col("rows").alias("all"), "total"), "p2-leaves")
+    merged = trees.join(kept, ["site", "leaf"]).groupBy("site", "leaf").applyInPandas(_merged, "site string, template string, sample string, rows long, total long")
+    return merged.select("site", "template", "sample", "rows", F.round(F.col("rows") / F.col("total"), 4).alias("share"))
 
 
 def drop_lines(df: DataFrame, id_col: str, text_col: str, lines: DataFrame, out_col: str) -> DataFrame:

@@ -86,13 +86,33 @@ def test_repeated_lines_against_brute_force(spark):
 
 
 def test_trees_merge_in_any_order():
-    a, b, c = p2_lines.TokenTree(), p2_lines.TokenTree(), p2_lines.TokenTree()
-    rows = [p2_lines.normal_lines(x)[0] for x in ("Page 1 of 20", "page 33 of 4", "Other line here", "x", "")]
-    for i, x in enumerate(rows * 3):
-        (a if i % 2 else b).add(x)
-        c.add(x)
-    assert dict(a.merge(b).templates()) == dict(c.templates())
-    assert dict(c.templates())[p2_lines.normal_lines("Page 9 of 9")[0]] == 6
+    def leaves(lines):
+        tree = p2_lines.TokenTree()
+        for x in lines:
+            tokens = p2_lines.TokenTree.tokens(p2_lines.normal_lines(x)[0])
+            tree.leaf(tokens).cover(tokens, 1, x)
+        return {x.key: x for x in tree.leaves}
+
+    rows = ["Page 1 of 20", "page 33 of 4", "Read the next chapter at Amberfold now", "Read the next chapter at Saltmills now", "x", ""] * 2
+    whole = leaves(rows)
+    for cut in (1, 3, 7):
+        merged = leaves(rows[cut:][::-1])
+        for key, other in leaves(rows[:cut]).items():
+            merged.setdefault(key, p2_lines.Leaf(key)).cover(other.tokens, other.rows, other.sample)
+        assert {k: (x.tokens, x.rows, x.sample) for k, x in merged.items()} == {k: (x.tokens, x.rows, x.sample) for k, x in whole.items()}
+    tokens = p2_lines.TokenTree.tokens(p2_lines.normal_lines("Read the next chapter at Saltmills now")[0])
+    assert None in whole[p2_lines.TokenTree().leaf(tokens).key].tokens  # other words: one leaf, a wildcard slot
+    page = p2_lines.TokenTree.tokens(p2_lines.normal_lines("PAGE 9 of 9")[0])
+    assert whole[p2_lines.TokenTree().leaf(page).key].rows == 4
+
+
+def test_templates_with_slots(spark):
+    rows = [(i, "https://a.example/1", f"Read the next chapter at {random.choice(['Amberfold', 'Saltmills'])} no {i}\nown text {'abcdefgh'[i % 8] * 9} {i}") for i in range(60)]
+    df = spark.createDataFrame([*rows, (99, None, None)], "ctx_id long, url string, content string")
+    out = p2_lines.line_templates(df, site_key(F.col("url")), "content").collect()
+    whole = [r for r in out if r.template.startswith("readthe")]
+    assert len(whole) == 1 and whole[0].rows == 60 and whole[0].share == 1.0 and "<*>" in whole[0].template
+    assert p2_lines.line_templates(df.where("false"), site_key(F.col("url")), "content").count() == 0
 
 
 # ---- 3 ----------------------------------------------------------------------------------------------------------------
