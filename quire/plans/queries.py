@@ -423,18 +423,50 @@ for _m in render.MODES:
 # ---- cleaning ---------------------------------------------------------------------------------------------------------
 
 
+def _floor(c: str) -> str:
+    return f"md5(case when length({_strip(c)}) >= {lines.LEAST} then {c} else content end)"
+
+
+def _matches(c: str, patterns: list[str]) -> str:
+    return "(" + " or ".join(f"regexp_matches({c}, '(?i){p}')" for p in patterns) + ")"
+
+
+_JOINED = "array_to_string(ls, chr(10))"
+_WORDS = f"len(list_filter(regexp_split_to_array(x, '{_BLANKS}+'), lambda w: w <> ''))"
+_COMMENT_TAPE = f"array_to_string(list_transform(bare, lambda x: case when {_matches('x', lines.COMMENT_MARKS)} then 'C' when {_WORDS} >= {lines.PROSE} then 'p' else 'o' end), '')"
+_POSTFIX_TAPE = f"array_to_string(list_transform(bare, lambda x: case when lower(x) in {_list(lines.NAV_WORDS)} then 'N' when {_matches('x', lines.POSTFIX_MARKS)} then 'H' else 'o' end), '')"
+_FACT_TAPE = f"""array_to_string(list_transform(bare[1:25], lambda x: case when x <> '' and {_matches('x', lines.META)} then 'F'
+  when (starts_with(x, '-') and length(x) <= 100) or (length(x) between 1 and 8 and regexp_matches(x, '{lines.DIGITS_AND_SIGNS}')) then 'c' when {_WORDS} >= {lines.PROSE} then 'p' else 'o' end), '')"""
+
+
+def _head(tape: str, start: str, here: str) -> str:
+    """The lines before the first place, from `start` on, where `here` holds of the tape and enough text stands before."""
+    heads = f"list_transform(list_filter(range({start}, len(ls)), lambda i: {here}), lambda i: array_to_string(ls[1:i], chr(10)))"
+    return f"coalesce(list_filter({heads}, lambda h: length({_strip('h')}) >= {lines.LEAST})[1], content)".replace("TAPE", tape)
+
+
 @query(
-    f"""with a as (select ctx_id, content, array_to_string(list_filter({_lines("content")}, lambda x: not regexp_matches(x, '(?i)^\\s*<script\\b')), chr(10)) as s,
-      array_to_string(list_filter({_lines("content")}, lambda x: not ({" or ".join(f"regexp_matches({_strip('x')}, '(?i){p}')" for p in lines.INTERFACE)})), chr(10)) as u from pipeline_contexts where content is not null)
-    select ctx_id, md5(case when length({_strip("s")}) >= 100 then s else content end) as no_scripts, md5(case when length({_strip("u")}) >= 100 then u else content end) as no_interface,
-      md5(regexp_replace(content, '\\*\\*([^*\\n]+?)[ \\t]+\\*\\*', '**\\1** ', 'g')) as bold from a"""
+    f"""with a as (select ctx_id, content, {_lines("content")} as ls from pipeline_contexts where content is not null),
+    b as (select *, list_transform(ls, lambda x: {_strip("x")}) as bare from a),
+    t as (select *, {_COMMENT_TAPE} as ct, {_POSTFIX_TAPE} as pt, length(regexp_extract({_FACT_TAPE}, '^[^F]*F[Fco]*')) as facts from b),
+    c as (select ctx_id, content,
+      array_to_string(list_filter(ls, lambda x: not regexp_matches(x, '(?i){lines.SCRIPT_LINE}')), chr(10)) as s,
+      array_to_string(list_filter(ls, lambda x: not {_matches(_strip("x"), lines.INTERFACE)}), chr(10)) as u,
+      {_head("ct", "greatest(5, cast(floor(len(ls) * 0.30::double) as bigint))", "TAPE[i + 1] = 'C' and length(replace(replace(TAPE[i + 2:i + 7], 'C', ''), 'o', '')) <= 1")} as k,
+      {_head("pt", "greatest(3, cast(floor(len(ls) * 0.35::double) as bigint))", "TAPE[i + 1] = 'H' or length(replace(replace(TAPE[i + 1:i + 5], 'H', ''), 'o', '')) >= 3")} as p,
+      array_to_string(ls[facts + 1 + coalesce(list_position(list_transform(bare[facts + 1:], lambda x: x <> ''), true), len(ls) - facts + 1) - 1:], chr(10)) as h, facts from t)
+    select ctx_id, {_floor("s")} as no_scripts, {_floor("u")} as no_interface, md5(k) as no_comments, md5(p) as no_postfix,
+      case when facts < 3 then md5(content) else {_floor("h")} end as no_header,
+      md5(regexp_replace(content, '\\*\\*([^*\\n]+?)[ \\t]+\\*\\*', '**\\1** ', 'g')) as bold from c"""
 )
 def line_passes(spark: SparkSession, d: str) -> DataFrame:
-    c = F.col("content")
-    df = table(spark, d, "pipeline_contexts").where("content is not null")
-    return df.select(
-        "ctx_id", F.md5(lines.drop_script_lines(c)).alias("no_scripts"), F.md5(lines.drop_interface_lines(c)).alias("no_interface"), F.md5(lines.fix_bold(c)).alias("bold")
-    )
+    """Each pass of `cleaned` that SQL can state, by itself."""
+    df = table(spark, d, "pipeline_contexts", spread=True).where("content is not null").select("ctx_id", "content")
+    steps = {
+        "no_scripts": lines.without_scripts, "no_interface": lines.without_interface, "no_comments": lines.without_comments,
+        "no_postfix": lines.without_postfix, "no_header": lines.without_header, "bold": lines.fixed_bold,
+    }
+    return lines.passes(df, "content", steps).select("ctx_id", *(F.md5(n).alias(n) for n in steps))
 
 
 @query()

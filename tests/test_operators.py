@@ -1,5 +1,6 @@
 import datetime as dt
 import io
+import random
 import zipfile
 
 import pytest
@@ -36,20 +37,36 @@ def test_status_boxes():
     assert lines.with_status_boxes("**a**: 1\n**b**: 2\nprose") == "**a**: 1\n**b**: 2\nprose"
 
 
-def test_native_passes_equal_the_others(spark):
-    texts = [
-        "\n".join(["word " * 8] * 8 + ["Comments (3)"] + ["ok"] * 3),
-        "\n".join([LONG] * 6 + ["Next", "Home", "Index"]),
-        "\n".join(["Next"] + [f"{LONG} {i}" for i in range(9)] + ["Next"]),
-        "\n".join(["x"] * 20),
-        "\n".join(["[1,234 words]", "", "Next"] + [LONG] * 9 + ["", "Prev"]),
-        "",
-        "one\ntwo",
-    ]
+def test_edges(spark):
+    body = [f"{LONG} {i}" for i in range(9)]
+    texts = {
+        "\n".join(["Next", *body, "Next"]): "\n".join(body),
+        "\n".join(["[1,234 words]", "", "Next", *body, "", "Prev"]): "\n".join(body),
+        "\n".join([LONG] * 6 + ["Next"]): None,  # fewer than eight lines
+        "one\ntwo": None,
+        "": None,
+    }
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = df.select("t", lines.cut_comments(F.col("t")), lines.cut_postfix(F.col("t")), lines.strip_nav_edges(F.col("t")), lines.drop_interface_lines(F.col("t"))).collect()
-    for t, c, p, e, i in got:
-        assert (c, p, e, i) == (lines.without_comments(t), lines.without_postfix(t), lines.without_edges(t), lines.without_interface(t))
+    for t, got in df.select("t", lines.strip_nav_edges(F.col("t"))).collect():
+        assert got == (texts[t] or t)
+
+
+@pytest.mark.parametrize(
+    "tape, left",
+    [
+        ("pppp" + "SSSSSSSS" + "pp", "p"),  # the window that finds the panel begins before it; the first other line goes too
+        ("SSSS" + "pS_pS_" + "p_p", "p"),  # one other line between settings does not end a panel, nor do blanks
+        ("SSSp" * 2, ""),
+        ("pSpSpSpp", "pSpSpSpp"),  # three settings are no panel
+        ("ppppSSSS" + "_" * 3, ""),
+    ],
+)
+def test_settings_panels(tape, left):
+    lead = [f"{LONG} {LONG} {i}" for i in range(9)]  # keeps the result above the least length
+    row = {"S": "Font size", "p": LONG, "_": ""}
+    got = lines.without_settings("\n".join([*lead, "x", *(row[t] for t in tape)])).split("\n")
+    kept = [r for r in got if r in (LONG, "Font size", "")]
+    assert "".join({LONG: "p", "Font size": "S", "": "_"}[r] for r in kept) == left
 
 
 def test_boilerplate_of_twelve_chapters(spark):
