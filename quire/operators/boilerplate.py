@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import any_match, is_keyword, lines, strip
+from quire.operators.shared import sized_broadcast
 
 # Fixed values of the task: watermarks known for one site.
 BUILT_IN = {
@@ -75,14 +76,21 @@ def keywords(learned: DataFrame, profiles: DataFrame | None = None) -> DataFrame
     return out.where(F.col("keyword").isNotNull() & is_keyword(F.col("keyword"))).distinct()
 
 
+def keyword_sets(words: DataFrame) -> DataFrame:
+    """(domain, words): the keywords of each domain as one array, written once, broadcast if it is checked to be small."""
+    sets = words.where("domain is not null and keyword is not null").groupBy("domain").agg(F.array_sort(F.collect_set("keyword")).alias("words"))
+    return sized_broadcast(sets, "keywords", most_rows=10_000)
+
+
 def filter_lines(docs: DataFrame, domain: Column, text_col: str, words: DataFrame) -> DataFrame:
     """`docs` with the lines that hold a keyword of their domain (or of 'global'), or a watermark, dropped; blank ones stay.
 
-    Each domain's keywords are gathered into one array (bounded: a domain learns at most twenty a run) and joined by
-    domain, so a line meets its own domain's keywords only.
+    `words` is (domain, keyword), or what `keyword_sets` makes of it. Each domain's keywords are one array (bounded: a
+    domain learns at most twenty a run) joined by domain, so a line meets its own domain's keywords only.
     """
-    own = words.where("domain <> 'global'").groupBy(F.col("domain").alias("__d")).agg(F.array_sort(F.collect_set("keyword")).alias("__own"))
-    every = words.where("domain = 'global'").agg(F.array_sort(F.collect_set("keyword")).alias("__all"))
+    sets = keyword_sets(words) if "keyword" in words.columns else words
+    own = sets.select(F.col("domain").alias("__d"), F.col("words").alias("__own"))
+    every = sets.where("domain = 'global'").agg(F.first("words").alias("__all"))  # one row
     joined = docs.withColumn("__k", domain).join(own, F.col("__k") == F.col("__d"), "left").join(F.broadcast(every))
     found = F.concat(F.coalesce(F.col("__own"), F.array().cast("array<string>")), F.coalesce(F.col("__all"), F.array().cast("array<string>")))
     joined = joined.withColumn("__w", found)

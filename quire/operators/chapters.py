@@ -37,6 +37,10 @@ def best_case(text: Column, cases: list[tuple[str, str, str]] | None = None, hea
 
     Ties go to the earlier case. One pass over the lines in the JVM: no join of documents and cases.
     """
+    return let(F.transform(F.slice(lines(text), 1, head), strip), lambda rows: _best_of(rows, cases))
+
+
+def _best_of(rows: Column, cases: list[tuple[str, str, str]] | None) -> Column:
     cases = CASES if cases is None else cases
 
     def hits(rows: Column, pattern: str) -> Column:
@@ -47,7 +51,7 @@ def best_case(text: Column, cases: list[tuple[str, str, str]] | None = None, hea
         return F.greatest(*scored) if len(scored) > 1 else scored[0]
 
     chosen = lambda b: F.when(b["score"] > 0, F.struct(b["id"].alias("id"), b["pattern"].alias("pattern"), b["score"].alias("score")))
-    return let(F.transform(F.slice(lines(text), 1, head), strip), lambda rows: let(best(rows), chosen))
+    return let(best(rows), chosen)
 
 
 def split_chapters(docs: DataFrame, id_col: str, text_col: str, cases: list[tuple[str, str, str]] | None = None) -> DataFrame:
@@ -56,15 +60,16 @@ def split_chapters(docs: DataFrame, id_col: str, text_col: str, cases: list[tupl
     Texts no case fits give no row (see `without_case`). The cut works within the row: the places of the boundaries are
     an array, and each chapter is the slice up to the next one, so no line is exchanged.
     """
-    rows = docs.select(F.col(id_col).alias("id"), lines(F.col(text_col)).alias("rows"), best_case(F.col(text_col), cases).alias("case"))
-    rows = rows.where("case is not null")
 
-    def cuts(x: Column) -> Column:
-        places = F.transform(x["rows"], lambda row, i: F.when(F.regexp_like(strip(row), x["pattern"]), i))
-        return F.filter(places, lambda i: i.isNotNull())
+    def cuts(rows: Column) -> Column:
+        """Lines and the places of the boundaries among them; the best case is chosen once a text."""
+        hit = lambda case: F.transform(rows, lambda row, i: F.when(F.regexp_like(strip(row), case["pattern"]), i))
+        at = let(_best_of(F.transform(F.slice(rows, 1, 100), strip), cases), lambda case: F.filter(hit(case), lambda i: i.isNotNull()))
+        return F.struct(rows.alias("rows"), at.alias("at"))
 
-    at = let(F.struct(F.col("rows").alias("rows"), F.col("case.pattern").alias("pattern")), cuts)
-    parts = rows.withColumn("at", at).select("id", "rows", "at", F.posexplode("at").alias("k", "start"))
+    cut = docs.select(F.col(id_col).alias("id"), let(lines(F.col(text_col)), cuts).alias("c"))
+    # taken apart row by row: an empty or null list of places gives no chapter
+    parts = cut.select("id", F.inline(F.array("c"))).select("id", "rows", "at", F.posexplode("at").alias("k", "start"))
     end = F.coalesce(F.get(F.col("at"), F.col("k") + 1), F.size("rows"))
     body = strip(F.array_join(F.slice("rows", F.col("start") + 2, end - F.col("start") - 1), "\n"))
     return parts.select("id", (F.col("k") + 1).alias("chapter_index"), strip(F.get(F.col("rows"), F.col("start"))).alias("title"), body.alias("body"))
@@ -129,7 +134,7 @@ def chapter_plan(spine: DataFrame) -> DataFrame:
     marked = spine.withColumn("kind", unit_kind(F.col("toc_title"), F.col("file")))
     marked = marked.withColumn("event", F.last(F.when(F.col("kind") != "open", F.col("kind")), ignorenulls=True).over(before))
     marked = marked.withColumn("number", F.sum((F.col("kind") == "start").cast("int")).over(before))
-    marked = marked.where("kind <> 'skip' and not (kind = 'open' and event = 'skip' and false)")
+    marked = marked.where("kind <> 'skip'")
     chapter = (F.col("kind") == "start") | ((F.col("kind") == "open") & (F.col("event") == "start"))
     marked = marked.withColumn("chapter_index", F.when(chapter, F.col("number")).otherwise(0))
     plan = marked.groupBy("book", "chapter_index").agg(

@@ -5,29 +5,51 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 from urllib.parse import urljoin
 
 # Fixed values of the task: elements and classes that never hold a chapter's text.
 ALWAYS_OUT = ("script", "style", "noscript", "iframe")
 SKIPPED = frozenset("script style noscript iframe nav header footer aside button form input select figure".split())
-HIDDEN_CLASSES = frozenset(
-    "sr-only sr-only-focusable visually-hidden visually-hidden-focusable screen-reader-only screenreader-only screenreader-text "
-    "screen-reader-text d-none hidden invisible hide is-hidden u-hidden js-hidden hidden-text hide-text off-screen offscreen no-display "
-    "nodisplay aria-hidden".split()
-)
+HIDDEN_CLASSES = frozenset({
+    "sr-only", "sr-only-focusable", "visually-hidden", "visually-hidden-focusable", "screen-reader-only", "screenreader-only",
+    "screenreader-text", "screen-reader-text", "d-none", "hidden", "invisible", "hide", "is-hidden", "u-hidden", "js-hidden",
+    "hidden-text", "hide-text", "off-screen", "offscreen", "no-display", "nodisplay", "aria-hidden",
+})
 NOISE = (
     "#profile_top", "#pre_story_links", ".author-note-portlet", ".portlet.blog-post", ".comment-container", ".comments-list",
     ".reading-settings", "#settings-popover", ".chapter-comments", "#chapter-comments", ".author-bio-box", "[class='reading-options']",
 )
-_HIDDEN = re.compile(
-    r"\b(?:display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0(?:\.0+)?(?=\s*[;\"']|\s*$)|font-size\s*:\s*0(?:px|pt|em|rem)?(?=\s*[;\"']|\s*$)"
-    r"|(?:left|right|top|bottom)\s*:\s*-9{3,}|clip\s*:\s*rect\s*\(\s*0(?:\s*,?\s*0){3}\s*\)|transform\s*:\s*scale\s*\(\s*0\s*\))",
-    re.I,
-)
+# Inline styles that hide an element.
+HIDING_STYLES = [
+    r"display\s*:\s*none",
+    r"visibility\s*:\s*hidden",
+    r"opacity\s*:\s*0(?:\.0+)?(?=\s*[;\"']|\s*$)",
+    r"font-size\s*:\s*0(?:px|pt|em|rem)?(?=\s*[;\"']|\s*$)",
+    r"(?:left|right|top|bottom)\s*:\s*-9{3,}",
+    r"clip\s*:\s*rect\s*\(\s*0(?:\s*,?\s*0){3}\s*\)",
+    r"transform\s*:\s*scale\s*\(\s*0\s*\)",
+]
+_HIDDEN = re.compile("|".join(rf"\b{p}" for p in HIDING_STYLES), re.I)
 _SCRAMBLED = re.compile(r"[A-Za-z0-9]{40,}\Z")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
+class Measure(NamedTuple):
+    """What an element holds: characters of markup, of text, filled strings, characters inside links, paragraphs."""
+
+    size: int
+    chars: int
+    strings: int
+    links: int
+    paragraphs: int
+
+    @property
+    def text(self) -> int:
+        """Length of the text with one blank between its strings."""
+        return self.chars + max(0, self.strings - 1)
+
+
 class Element:
     __slots__ = ("tag", "attrs", "children", "parent", "size")
 
@@ -71,10 +93,22 @@ class Element:
             e = e.parent
         return e is root
 
-    def markup_size(self) -> int:
-        """About as many characters as the element's markup has."""
-        total = 2 * len(self.tag) + 5 + sum(len(k) + len(v) + 4 for k, v in self.attrs.items())
-        return total + sum(len(c) if isinstance(c, str) else c.markup_size() for c in self.children)
+    def measures(self) -> dict[int, Measure]:
+        """Measures of the element and each of its descendants by id(), summed from the leaves up in one pass."""
+        out: dict[int, Measure] = {}
+        for e in reversed([self, *self.all()]):
+            size = 2 * len(e.tag) + 5 + sum(len(k) + len(v) + 4 for k, v in e.attrs.items())
+            chars = strings = links = paragraphs = 0
+            for c in e.children:
+                if isinstance(c, str):
+                    size, chars, strings = size + len(c), chars + len(s := c.strip()), strings + bool(s)
+                else:
+                    m = out[id(c)]
+                    size, chars, strings = size + m.size, chars + m.chars, strings + m.strings
+                    links += m.links + (m.text if c.tag == "a" else 0)
+                    paragraphs += m.paragraphs + (c.tag == "p")
+            out[id(e)] = Measure(size, chars, strings, links, paragraphs)
+        return out
 
 
 class _Builder(HTMLParser):

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from quire.functions import urls
 from quire.functions.text import normalize_title, strip, strip_site_suffix, tag_title
-from quire.operators.dom import Element, Markdown, filtered, first, plain_text, select, tree
+from quire.operators.dom import Element, Markdown, Measure, filtered, first, plain_text, select, tree
 from quire.operators.shared import with_python_column
 
 # Fixed values of the task.
@@ -49,16 +49,11 @@ PAGE = T.StructType(
 )
 
 
-def density(e: Element) -> float:
+def density(m: Measure) -> float:
     """How much of an element is running text: share of text in its markup, few links, length, paragraphs."""
-    text = e.text(" ")
-    if len(text) < 50:
+    if m.text < 50 or m.links / m.text > 0.6:
         return 0.0
-    links = sum(len(a.text(" ")) for a in e.all() if a.tag == "a") / len(text)
-    if links > 0.6:
-        return 0.0
-    paragraphs = sum(x.tag == "p" for x in e.all())
-    return len(text) / max(1, e.markup_size()) * (1 - links) * math.log(len(text) + 1) * (1 + min(0.05 * paragraphs, 0.3))
+    return m.text / max(1, m.size) * (1 - m.links / m.text) * math.log(m.text + 1) * (1 + min(0.05 * m.paragraphs, 0.3))
 
 
 def _json_ld(html: str) -> str | None:
@@ -103,9 +98,9 @@ def read_page(html: str | None, url: str | None, content_selector: str | None, t
     if (text := _json_ld(html)) is not None and out["parse_failed"]:
         out["contents"].append({"method": "json_ld", "text": text, "confidence": 0.85})
     if not out["contents"]:
-        best, score = None, 0.0
+        best, score, measures = None, 0.0, root.measures()
         for e in root.all():
-            if e.tag in ("article", "main", "section", "div", "td") and (d := density(e)) > score and len(e.text(" ")) >= 150:
+            if e.tag in ("article", "main", "section", "div", "td") and (m := measures[id(e)]).text >= 150 and (d := density(m)) > score:
                 best, score = e, d
         offer("density", best, min(0.85, 0.4 + 0.1 * score))
     if not out["contents"]:

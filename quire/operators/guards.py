@@ -11,11 +11,19 @@ from quire.functions.text import fingerprint
 def duplicates(docs: DataFrame, text_col: str, order: list[str], within: list[str] | None = None, bucket: Column | None = None) -> DataFrame:
     """`docs` with fp and copy_no: the first of equal texts (within the given columns) has 1. Null texts have null in both.
 
-    The hash is taken before the exchange. `bucket`, a column that never falls along `order`, splits a text with very
-    many copies: copies are ranked within buckets, and a bucket starts at the number of copies in the buckets before it.
+    The hash is taken before the exchange. See `copies` for `bucket`.
     """
-    keys = [*(within or []), "fp"]
-    rows = docs.withColumn("fp", fingerprint(F.col(text_col)))
+    return copies(docs.withColumn("fp", fingerprint(F.col(text_col))), order, within, bucket)
+
+
+def copies(rows: DataFrame, order: list[str], within: list[str] | None = None, bucket: Column | None = None) -> DataFrame:
+    """`rows` with copy_no: the first row of an equal fp (within the given columns) has 1; null where fp is null.
+
+    `bucket`, a column that never falls along `order`, splits a fingerprint with very many copies: copies are ranked
+    within buckets, and a bucket starts at the number of copies in the buckets before it. It reads `rows` twice, so give
+    it narrow rows that are written or cheap.
+    """
+    keys, columns = [*(within or []), "fp"], rows.columns
     if bucket is None:
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
         return rows.withColumn("copy_no", F.when(F.col("fp").isNotNull(), rank))
@@ -25,7 +33,7 @@ def duplicates(docs: DataFrame, text_col: str, order: list[str], within: list[st
     offsets = counts.withColumn("__o", F.coalesce(F.sum("__n").over(before), F.lit(0))).where("__o > 0").drop("__n")
     rank = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(*order))
     joined = rows.withColumn("__r", rank).join(offsets, [*keys, "__b"], "left")
-    return joined.withColumn("copy_no", F.when(F.col("fp").isNotNull(), F.col("__r") + F.coalesce("__o", F.lit(0)))).select(*docs.columns, "fp", "copy_no")
+    return joined.withColumn("copy_no", F.when(F.col("fp").isNotNull(), F.col("__r") + F.coalesce("__o", F.lit(0)))).select(*columns, "copy_no")
 
 
 def until_repeat(docs: DataFrame, story: str, index: str, fp: str) -> DataFrame:
@@ -77,22 +85,23 @@ def trailing_count(events: DataFrame, key: str, ts: str, seconds: int = 60) -> D
 def walk(links: DataFrame, starts: DataFrame, most: int = 5000) -> DataFrame:
     """(start, step, url): pages reached by following next links from each start, each visited once.
 
-    `links` is (url, next_url), `starts` (url). Frontier joins, one round a step, until no walk moves; every round's
-    result is written to the shared folder, so the lineage stays short. A walk ends at a page without a row, at a page
-    it has visited, or after `most` steps.
+    `links` is (url, next_url), `starts` (url); of several next links the least counts. A walk ends at a page without a
+    row, at a page it has visited, or after `most` steps. By doubling: a round knows where 2^k steps lead from every page
+    and adds that many steps to every walk, so a walk of n steps takes log2(n) rounds. A walk that comes back to a page
+    keeps the first visit, and all after it are repeats. Rounds are written to the shared folder.
     """
     from quire.operators.shared import materialize
 
-    next_of = links.where("next_url is not null").groupBy("url").agg(F.min("next_url").alias("next_url"))
-    visited = materialize(starts.select(F.col("url").alias("start"), F.lit(0).alias("step"), "url").distinct(), "walk")
-    frontier, step = visited, 0
-    while step < most:
-        step += 1
-        moved = frontier.join(next_of, "url").select("start", F.lit(step).alias("step"), F.col("next_url").alias("url"))
-        frontier = materialize(moved.join(visited.select("start", "url"), ["start", "url"], "left_anti").distinct().select("start", "step", "url"), "walk")
-        if frontier.isEmpty():
-            break
-        visited = visited.unionByName(frontier)
+    jump = links.where("next_url is not null").groupBy("url").agg(F.min("next_url").alias("to"))
+    visited, known, reach = starts.select(F.col("url").alias("start"), F.lit(0).alias("step"), "url").distinct(), -1, 1
+    visited = materialize(visited, "walk")
+    while (count := visited.count()) > known and reach <= most:
+        jump, known = materialize(jump, "jump"), count
+        moved = visited.join(jump, "url").select("start", (F.col("step") + reach).alias("step"), F.col("to").alias("url"))
+        both = visited.unionByName(moved.where(F.col("step") <= most))
+        visited = materialize(both.groupBy("start", "url").agg(F.min("step").alias("step")).select("start", "step", "url"), "walk")
+        after = jump.select(F.col("url").alias("to"), F.col("to").alias("then"))
+        jump, reach = jump.join(after, "to").select("url", F.col("then").alias("to")), reach * 2
     return visited
 
 

@@ -26,16 +26,21 @@ def quoted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def indent(body: Column) -> Column:
-    """An em space before every line of prose; headings, quotes, lists, tables, rules, comments and code stay."""
-    rows = F.split(body, "\n", -1)
-    fence = F.transform(rows, lambda x: x.rlike(r"^\s*```").cast("int"))
+    """An em space before every line of prose; headings, quotes, lists, tables, rules, comments and code stay.
 
-    def one(x: Column, i: Column) -> Column:
-        inside = F.aggregate(F.slice(fence, 1, i), F.lit(0), lambda a, b: a + b) % 2 == 1
+    The text is cut before each fence, so every other part is code and no line has to count the fences before it.
+    """
+
+    def one(x: Column) -> Column:
         special = x.rlike(r"^\s*(?:#|>|[-*+]\s|\d+\.\s|---\s*$|\||<!--|!\[|```)")
-        return F.when((strip(x) == "") | inside | special, x).otherwise(F.concat(F.lit(INDENT), x))
+        return F.when((strip(x) == "") | special, x).otherwise(F.concat(F.lit(INDENT), x))
+
+    def part(p: Column, k: Column) -> Column:
+        return F.when(k % 2 == 1, p).otherwise(F.array_join(F.transform(F.split(p, "\n", -1), one), "\n"))
 
-    return F.array_join(F.transform(rows, one), "\n")
+    parts = F.split(F.concat(F.lit("\n"), body), r"\n(?=[^\S\n]*```)", -1)
+    whole = F.array_join(F.transform(parts, part), "\n")
+    return F.when(F.startswith(whole, F.lit("\n")), F.substring(whole, F.lit(2), F.length(whole))).otherwise(whole)
 
 
 def obsidian(title: Column, index: Column, body: Column, source_url: Column, source_path: Column, meta: Column | None = None) -> Column:

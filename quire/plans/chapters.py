@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import is_challenge, is_junk_page, length_score, prose_score, strip
+from quire.functions.text import fingerprint, is_challenge, is_junk_page, length_score, prose_score, strip
 from quire.functions.urls import is_numbered, page_type, site_key
-from quire.operators.boilerplate import candidates, filter_lines, keywords, suspects
+from quire.operators.boilerplate import candidates, filter_lines, keyword_sets, keywords, suspects
 from quire.operators.chapters import smart_title
 from quire.operators.extract import body_of, chosen, with_candidates
-from quire.operators.guards import duplicates, until_repeat
+from quire.operators.guards import copies, until_repeat
 from quire.operators.lines import LEAST, clean_content, floor, strip_nav_edges
 from quire.operators.profiles import with_profile
 from quire.operators.shared import materialize
@@ -40,8 +40,9 @@ def extracted(spark: SparkSession, d: str) -> DataFrame:
 
 def filtered(rows: DataFrame, words: DataFrame) -> DataFrame:
     """`rows` (domain, body) without boilerplate: keyword lines go before and after the edges are trimmed."""
-    rows = filter_lines(rows, F.col("domain"), "body", words)
-    return filter_lines(rows.withColumn("body", floor(F.col("body"), strip_nav_edges)), F.col("domain"), "body", words)
+    sets = keyword_sets(words)
+    rows = filter_lines(rows, F.col("domain"), "body", sets)
+    return filter_lines(rows.withColumn("body", floor(F.col("body"), strip_nav_edges)), F.col("domain"), "body", sets)
 
 
 def until_loop(rows: DataFrame) -> DataFrame:
@@ -83,13 +84,16 @@ def chapters(spark: SparkSession, d: str, learned: DataFrame | None = None) -> D
     rows = clean_content(rows, "content", "body").drop("content").where(F.length(strip(F.col("body"))) >= LEAST)
     none = spark.createDataFrame([], "domain string, keyword string")
     rows = filtered(rows, keywords(none if learned is None else learned, table(spark, d, "site_profiles")))
-    rows = duplicates(rows.withColumn("body", body_of(F.col("body"), F.col("title"))), "body", ["chapter_index", "raw_id"], ["story"])
+    rows = rows.withColumn("body", body_of(F.col("body"), F.col("title"))).withColumn("fp", fingerprint(F.col("body")))
     # learning, guards and result read the same rows: pages are parsed once
-    rows = until_loop(materialize(rows, "chapters")).where("copy_no = 1")
-    rows = without_learned(rows)
-    by = Window.partitionBy("story").orderBy("chapter_index", "raw_id")
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "chapters")
+    # copies, loops and numbers are found on narrow rows; the bodies meet them in one join
+    keys = rows.select("row", "raw_id", "story", "domain", "chapter_index", "source_url", "fp")
+    kept = until_loop(copies(keys, ["chapter_index", "raw_id", "row"], ["story"])).where("copy_no = 1")
+    by = Window.partitionBy("story").orderBy("chapter_index", "raw_id", "row")
+    rows = without_learned(rows.join(kept.select("row", F.row_number().over(by).alias("number")), "row"))
     score = F.greatest(length_score(F.col("body"))["score"] * 0.5, prose_score(F.col("body")))
     return rows.select(
-        "raw_id", "story", F.row_number().over(by).alias("number"), "chapter_index", "title", "content_method", "next_url", "next_method", "fp",
+        "raw_id", "story", "number", "chapter_index", "title", "content_method", "next_url", "next_method", "fp",
         F.round(score, 3).alias("score"), "body",
     )

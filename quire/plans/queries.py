@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as X
 from quire.functions import urls as U
 from quire.operators import boilerplate, chapters, fetching, guards, lines, naming, profiles, render
+from quire.operators.shared import materialize
 from quire.plans import chapters as job
 from quire.sources.tables import table
 
@@ -247,8 +248,9 @@ _FP = f"md5(regexp_replace({_strip('text')}, '{_BLANKS}+', ' ', 'g'))[1:16]"
 
 @query(f"select doc_id, fp, row_number() over (partition by fp order by doc_id) as copy_no from (select doc_id, {_FP} as fp from documents where text is not null)")
 def fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
-    rows = guards.duplicates(docs, "text", ["doc_id"], bucket=F.floor(F.col("doc_id") / 10_000))
+    docs = table(spark, d, "documents", spread=True).where("text is not null")
+    prints = materialize(docs.select("doc_id", X.fingerprint(F.col("text")).alias("fp")), "prints")
+    rows = guards.copies(prints, ["doc_id"], bucket=F.floor(F.col("doc_id") / 10_000))
     return rows.select("doc_id", "fp", F.col("copy_no").cast("long").alias("copy_no"))
 
 
