@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.urls import site_key
 from quire.llm.html_blocks import Block, Page, parse
+from quire.operators.shared import sized_broadcast
 
 # Elements of HTML.
 TAGS = (
@@ -381,6 +382,12 @@ def _page_markup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _emit("raw_documents", rec, markup)
 
 
+def _regions(raw: DataFrame) -> DataFrame:
+    """(site, regions): a short list of names per site, broadcast where the number of sites is checked to be small, so
+    pages need not be exchanged; beyond that the join shuffles."""
+    return sized_broadcast(wrappers(raw, "source_url", "html").select("site", "regions"), "p3-sites", most_rows=50_000)
+
+
 def markup_residue(contexts: DataFrame, raw: DataFrame) -> DataFrame:
     """(src, rec_id, markup): records whose content, or whose page's main body as a browser shows it, holds markup.
 
@@ -390,8 +397,7 @@ def markup_residue(contexts: DataFrame, raw: DataFrame) -> DataFrame:
     schema = "src string, rec_id long, markup string"
     one = contexts.select(F.col("ctx_id").cast("long").alias("id"), F.col("content").alias("text")).where("text is not null")
     pages = raw.where("html is not null").select(F.col("raw_id").cast("long").alias("id"), "html", site_key(F.col("source_url")).alias("site"))
-    sites = wrappers(raw, "source_url", "html").select("site", "regions")
-    two = pages.join(sites, "site", "left").select("id", "html", "regions")
+    two = pages.join(_regions(raw), "site", "left").select("id", "html", "regions")
     return one.mapInArrow(_content_markup, schema).unionByName(two.mapInArrow(_page_markup, schema))
 
 
@@ -413,7 +419,7 @@ def clean_texts(contexts: DataFrame, raw: DataFrame) -> DataFrame:
     schema = "src string, rec_id long, clean_text string"
     one = contexts.select(F.col("ctx_id").cast("long").alias("id"), "content")
     chosen = raw.select(F.col("raw_id").cast("long").alias("id"), "html", site_key(F.col("source_url")).alias("site"))
-    two = chosen.join(wrappers(raw, "source_url", "html").select("site", "regions"), "site", "left").select("id", "html", "regions")
+    two = chosen.join(_regions(raw), "site", "left").select("id", "html", "regions")
     return one.mapInArrow(contents, schema).unionByName(two.mapInArrow(pages, schema))
 
 

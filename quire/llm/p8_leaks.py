@@ -6,7 +6,6 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,6 +16,7 @@ from quire.llm.chars import look
 # Fixed values of the task: a run of so many words (characters without blanks between words) is a leak, and so many of
 # them may be replaced.
 WORDS, CHARACTERS, BUDGET = 25, 40, 1
+REPLACED_CHARACTERS = 4  # a replaced word of ideographic text
 
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿豈-﫿ｦ-ﾟ]|(?:(?![぀-ヿ㐀-鿿豈-﫿ｦ-ﾟ])\w)+")
 _MARKS = re.compile(r"(?<=\w)[̀-ͯ]+")
@@ -94,65 +94,53 @@ class Leaks:
             table = self.pieces.setdefault(size, {})
             for at in range(0, len(t) - size + 1, size):
                 table.setdefault(t[at : at + size], []).append((k, at))
-        self.first = {size: {p[0] for p in table} for size, table in self.pieces.items()}
         self.vocabulary = {w for t, *_ in self.passages for w in t}
+        # by the last word of a piece: the tables that hold a piece which ends in it
+        self.ends: dict[str, list[tuple[int, dict]]] = {}
+        for size, table in self.pieces.items():
+            for w in {p[-1] for p in table}:
+                self.ends.setdefault(w, []).append((size, table))
 
     def seeds(self, words: list[str]) -> dict[int, set[int]]:
         """Passage -> diagonals (place in the text less place in the passage) of the exact piece hits."""
         found: dict[int, set[int]] = defaultdict(set)
-        vocabulary = self.vocabulary
-        for size, table in self.pieces.items():
-            first = self.first[size]
-            run = 0  # words of the vocabulary in a row
-            for i, w in enumerate(words):
-                if w in vocabulary:
-                    run += 1
-                    if run >= size and words[i + 1 - size] in first:
-                        for k, at in table.get(tuple(words[i + 1 - size : i + 1]), ()):
-                            found[k].add(i + 1 - size - at)
-                else:
-                    run = 0
+        ends, vocabulary, least = self.ends, self.vocabulary, min(self.pieces, default=0)
+        run = 0  # words of the items' vocabulary in a row
+        for i, w in enumerate(words, 1):
+            if w not in vocabulary:
+                run = 0
+                continue
+            run += 1
+            for size, table in ends.get(w, ()) if run >= least else ():
+                if run >= size:
+                    for k, at in table.get(tuple(words[i - size : i]), ()):
+                        found[k].add(i - size - at)
         return found
 
     def verify(self, words: list[str], k: int, diagonal: int) -> bool:
-        """Whether a window around a hit is within the budget: Myers' distance first, then replacements only."""
+        """Whether a window of the passage stands here within the budget.
+
+        Myers' distance decides for each window along the diagonal, with the error budget itself as its bound; an exact
+        check follows that the errors are replacements (not words put in or left out), in ideographic text of one stretch
+        of up to four characters.
+        """
         passage, _, need, ideographic = self.passages[k]
-        allowed = self.budget * (4 if ideographic else 1)
+        allowed = self.budget * (REPLACED_CHARACTERS if ideographic else 1)
         lo, hi = max(0, -diagonal), min(len(passage), len(words) - diagonal)
-        if hi - lo < need:
-            return False
-        good = [passage[q] == words[q + diagonal] for q in range(lo, hi)]
-        if len(passage) >= need:
-            codes: dict[str, int] = {}
-            near = False
-            text = [codes.setdefault(w, len(codes)) for w in words[lo + diagonal : hi + diagonal]]
-            step = max(1, need // 2)
-            for at in range(lo, hi - need + 1, step):  # windows that overlap by half or more: a leak touches one
-                pattern = [codes.setdefault(w, len(codes)) for w in passage[at : at + need]]
-                if min(myers(pattern, text)) <= allowed + step:
-                    near = True
-                    break
-            if not near:
-                return False
-        if ideographic:
-            return self._characters(good, need)
-        bad, start = sum(not g for g in good[:need]), 0
-        if bad <= self.budget:
-            return True
-        for end in range(need, len(good)):
-            bad += (not good[end]) - (not good[start])
-            start += 1
-            if bad <= self.budget:
-                return True
-        return False
-
-    @staticmethod
-    def _characters(good: list[bool], need: int) -> bool:
-        """A window with one replaced stretch of at most four characters."""
-        for start in range(len(good) - need + 1):
-            wrong = [i for i in range(start, start + need) if not good[i]]
-            if not wrong or wrong[-1] - wrong[0] < 4:
-                return True
+        codes: dict[str, int] = {}
+        text = [codes.setdefault(w, len(codes)) for w in words[lo + diagonal : hi + diagonal]]
+        pattern = [codes.setdefault(w, len(codes)) for w in passage[lo:hi]]
+        at = 0
+        while at + need <= hi - lo:
+            nearby = text[max(0, at - allowed) : at + need + allowed]
+            errors = min(myers(pattern[at : at + need], nearby))
+            if errors <= allowed:
+                wrong = [q for q in range(at, at + need) if pattern[q] != text[q]]
+                if len(wrong) <= self.budget or ideographic and wrong[-1] - wrong[0] < allowed:
+                    return True
+                at = wrong[0] + 1  # every window that still holds the first error has too many
+            else:
+                at += errors - allowed  # a window further on has at most one error less for each word
         return False
 
     def search(self, text: str) -> list[int]:
@@ -165,11 +153,6 @@ class Leaks:
         return sorted(out)
 
 
-@lru_cache(maxsize=2)
-def _index(items: tuple[tuple[int, str], ...], words: int, characters: int, budget: int) -> Leaks:
-    return Leaks(list(items), words, characters, budget)
-
-
 def leaked_items(
     df: DataFrame,
     id_col: str,
@@ -184,8 +167,8 @@ def leaked_items(
 ) -> DataFrame:
     """(id, item_id): the documents that hold a passage, or enough consecutive words of it, and the items they leak.
 
-    The test items are a stated query set: they are read in blocks of at most `block` (ordered by id), each block's
-    piece index is sent with the task, and every document meets every block. Null passages and texts leak nothing;
+    The test items are a stated query set: they are read in blocks of at most `block` (ordered by id), each block is
+    broadcast and indexed once per task, and every document meets every block. Null passages and texts leak nothing;
     items with equal passages are all reported; a document repeated under one id gives one row per item.
     """
     stated = items.select(F.col(item_col).alias("item_id"), F.col(passage_col).alias("passage")).where("passage is not null")
@@ -194,10 +177,10 @@ def leaked_items(
     kind = df.schema[id_col].dataType.simpleString()
     out = None
     for at in range(0, max(1, len(rows)), block):
-        part = tuple(rows[at : at + block])
+        part = df.sparkSession.sparkContext.broadcast(rows[at : at + block])
 
         def run(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
-            index = _index(part, words, characters, budget)
+            index = Leaks(part.value, words, characters, budget)
             for batch in batches:
                 row, item = [], []
                 for i, text in enumerate(batch.column(1).to_pylist()):
