@@ -7,7 +7,9 @@ import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -262,8 +264,8 @@ def label_page(page: Page, partner: str) -> list[int] | None:
     for b, ok in zip(page.blocks, matched, strict=True):
         inside = b.path[: len(box)] == box
         rest = b.path[len(box) :]
-        if not inside:
-            labels.append(FURNITURE)
+        if not inside:  # a heading that the other fetch bears out may stand above the body
+            labels.append(MAIN if ok and b.path and b.path[-1][0] in ("h1", "h2") else FURNITURE)
         elif ok or b.code or not _SAYS.search(b.text) or _is_matter(b.text):
             labels.append(MAIN)
         elif any(t in ("li", "td", "th", "pre", "blockquote", "h1", "h2", "h3", "ol", "ul", "table") for t, _ in rest) and not any(c for t, c in rest if t in ("div", "p", "span")):
@@ -319,19 +321,11 @@ class Labeller:
         told = Shown(html).tell(lines)
         beside = content_features(lines, site, told)
         scores = [self.chain.score(f) + (0.0 if k == "yes" else self.text_score(t)) for t, f, k in zip(lines, beside, told, strict=True)]
-        labels = self.chain.viterbi(scores)  # exact check: what the page shows as body is body
-        return [(no, MAIN if k == "yes" else y) for (no, _), y, k in zip(items, labels, told, strict=True)]
+        return [(no, y) for (no, _), y in zip(items, self.chain.viterbi(scores), strict=True)]
 
     def page(self, page: Page, site: str | None) -> list[tuple[Block, int]]:
-        if site is None:  # a book chapter carries no page furniture
-            return [(b, MAIN) for b in page.blocks]
         scores = [self.text_score(b.text) + self.chain.score(f) for b, f in zip(page.blocks, block_features(page, site), strict=True)]
-        labels = self.chain.viterbi(scores)
-        for i, b in enumerate(page.blocks):  # exact check: the chapter's heading is body wherever it stands
-            if b.path and b.path[-1][0] == "h1":
-                labels[i] = MAIN
-                break
-        return list(zip(page.blocks, labels, strict=True))
+        return list(zip(page.blocks, self.chain.viterbi(scores), strict=True))
 
 
 def _sampled(df: DataFrame, id_col: str, sample: int) -> DataFrame:
@@ -341,24 +335,50 @@ def _sampled(df: DataFrame, id_col: str, sample: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(id_col), F.lit(share)) == 0)
 
 
+_EDGE = "\x00"  # names the weights of neighbouring labels among those of features
+
+
+def _fitted(rows: DataFrame, fit) -> Chain:
+    """`fit` run in one task on the rows of a bounded sample, ordered by their columns; the driver sees only the weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        chain = fit([row[1:] for row in sorted(found, key=lambda row: tuple((x is not None, x) for x in row))])
+        edges = [*chain.trans.reshape(-1).tolist(), *chain.start.tolist(), *chain.end.tolist()]
+        names = [*chain.weights, *(_EDGE + str(k) for k in range(len(edges)))]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([*chain.weights.values(), *edges], pa.float64())], names=["feature", "weight"])
+
+    table = rows.repartition(1).mapInArrow(run, "feature string, weight double").toArrow()
+    weights = dict(zip(table.column("feature").to_pylist(), table.column("weight").to_pylist(), strict=True))
+    edges = np.array([weights.pop(_EDGE + str(k), 0.0) for k in range(8)])
+    return Chain(weights, edges[:4].reshape(2, 2), edges[4:6], edges[6:])
+
+
 def train_content(contexts: DataFrame, sample: int = 2500) -> Chain:
     """Fit on about `sample` rows, those with content and html."""
     some = _sampled(contexts, "ctx_id", sample).where("content is not null and html is not null")
-    chosen = some.select("ctx_id", site_key(F.col("url")).alias("site"), "content", "html")
-    return fit_content([(r.site, r.content, r.html) for r in sorted(chosen.collect(), key=lambda r: (r.ctx_id, r.html))])
+    return _fitted(some.select("ctx_id", site_key(F.col("url")).alias("site"), "content", "html"), fit_content)
 
 
-def train_pages(raw: DataFrame, contexts: DataFrame, sample: int = 3000) -> Chain:
-    """Fit on about `sample` pages: web pages that a fetch of the same url bears out, and book chapters."""
+def train_pages(raw: DataFrame, contexts: DataFrame, sample: int = 3000, books: int = 4) -> Chain:
+    """Fit on about `sample` pages: web pages that a fetch of the same url bears out, and one in `books` book chapters."""
     some = _sampled(raw, "raw_id", sample).where("html is not null")
     web = some.where("source_url is not null").select("raw_id", "source_url", "html")
     other = contexts.where("html is not null and content is not null").select(F.col("url").alias("source_url"), F.col("html").alias("partner"))
     # the sample's addresses are a bounded list, so they go to the rows instead of the rows to them
     other = other.join(F.broadcast(web.select("source_url").distinct()), "source_url", "left_semi")
     pairs = web.join(other, "source_url").groupBy("raw_id").agg(F.first("source_url").alias("u"), F.first("html").alias("html"), F.min("partner").alias("partner"))
-    rows = [(r.site, r.html, r.partner) for r in sorted(pairs.select("raw_id", site_key(F.col("u")).alias("site"), "html", "partner").collect(), key=lambda r: r.raw_id)]
-    books = some.where("source_url is null").select("raw_id", "html").collect()
-    return fit_pages(rows + [(None, r.html, None) for r in sorted(books, key=lambda r: r.raw_id)[: sample // 8]])
+    paired = pairs.select("raw_id", site_key(F.col("u")).alias("site"), "html", "partner")
+    chapters = some.where((F.col("source_url").isNull()) & (F.pmod(F.xxhash64("raw_id", F.lit(1)), F.lit(books)) == 0))
+    alone = chapters.select("raw_id", F.lit(None).cast("string").alias("site"), "html", F.lit(None).cast("string").alias("partner"))
+    return _fitted(paired.unionByName(alone), fit_pages)
+
+
+def train(contexts: DataFrame, raw: DataFrame) -> tuple[Chain, Chain]:
+    """Both chains, fitted side by side."""
+    with ThreadPoolExecutor(2) as pool:
+        one, two = pool.submit(train_content, contexts), pool.submit(train_pages, raw, contexts)
+        return one.result(), two.result()
 
 
 def _shared(chain: Chain):

@@ -13,7 +13,7 @@ from quire.llm.p2_lines import drop_lines, line_templates, repeated_lines
 from quire.llm.p3_markup import clean_texts, markup_residue, wrappers
 from quire.llm.p4_residue import residue_records
 from quire.llm.p5_encoding import garbled_fields
-from quire.llm.p6_main import furniture_lines, main_bodies, train_content, train_pages
+from quire.llm.p6_main import furniture_lines, main_bodies, train
 from quire.llm.p7_packing import pack, token_counts
 from quire.llm.p8_leaks import leaked_items
 from quire.llm.p9_sentences import sentence_starts, sentences
@@ -74,12 +74,12 @@ def p5_restored(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     contexts, raw = table(spark, d, "pipeline_contexts"), table(spark, d, "raw_documents")
-    return furniture_lines(contexts, raw, train_content(contexts), train_pages(raw, contexts))
+    return furniture_lines(contexts, raw, *train(contexts, raw))
 
 
 def p6_main(spark: SparkSession, d: str) -> DataFrame:
     contexts, raw = table(spark, d, "pipeline_contexts"), table(spark, d, "raw_documents")
-    return main_bodies(contexts, raw, train_content(contexts), train_pages(raw, contexts))
+    return main_bodies(contexts, raw, *train(contexts, raw))
 
 
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:
