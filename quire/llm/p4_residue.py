@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.html_blocks import Page, parse
@@ -63,16 +63,25 @@ def passages(page: Page) -> tuple[list[str], list[str]]:
     return heads, body
 
 
-def trusted(page: Page, status: int | None) -> tuple[int, list[str]]:
-    """A reason and its passages where the record alone proves it; CHAPTER stands for unlabelled."""
+def visible(page: Page) -> list[str]:
+    """The title and all text the body shows, menus and footers too: a placeholder counts wherever it stands."""
+    return [page.title, *(b.text for b in page.blocks)]
+
+
+def trusted(page: Page, status: int | None, brief: int = 130, pieces: int = 4) -> tuple[int, list[str]]:
+    """A reason and its passages where the record alone proves it; CHAPTER stands for unlabelled.
+
+    An error status proves an error only where the page shows at most `pieces` passages and fewer than `brief` characters:
+    these bounds pick what teaches, not what is found.
+    """
     heads, body = passages(page)
-    marked = [t for t in (page.title, *heads, *body) if PLACEHOLDER.search(t)]
+    marked = [t for t in visible(page) if PLACEHOLDER.search(t)]
     if marked:
         return TEMPLATE, marked
     if not body and not heads and page.noscript and page.scripts:
         return SCRIPT, [page.noscript]
     shown = [*heads, *body]
-    if status is not None and status >= 400 and shown and sum(map(_weight, shown)) < 130 and len(shown) <= 4:
+    if status is not None and status >= 400 and shown and sum(map(_weight, shown)) < brief and len(shown) <= pieces:
         return ERROR, shown
     sentences = [re.sub(r"\d+", "0", s) for t in body for s in _SENTENCE.split(t) if len(s) > 11]
     if len(sentences) >= 3:
@@ -140,8 +149,8 @@ class Bayes:
 def decide(page: Page, model: Bayes) -> str | None:
     """The reason to exclude a record, or None. Passages are scored; a chapter passage outweighs all but a placeholder."""
     heads, body = passages(page)
-    if _SIGNS.search(text := "\n".join((page.title, *heads, *body))) and PLACEHOLDER.search(text):
-        for t in (page.title, *heads, *body):
+    if _SIGNS.search(text := "\n".join(visible(page))) and PLACEHOLDER.search(text):
+        for t in visible(page):
             if PLACEHOLDER.search(t) and model.score(t).argmax() == TEMPLATE:
                 return CLASSES[TEMPLATE]
     shown = body or heads
@@ -158,31 +167,35 @@ def decide(page: Page, model: Bayes) -> str | None:
     return CLASSES[1 + int(total[1:TEMPLATE].argmax())]
 
 
-def train(df: DataFrame, id_col: str, html_col: str, status_col: str, sample: int = 12000) -> Bayes:
-    """Fit on the passages of about `sample` records: half that look trusted at first sight, half of all others.
+# Shapes that make a row worth a look when the training sample is drawn; they decide nothing else.
+_TELLING = r"(?i)lorem|ipsum|\{\{|\$\{|#\{|&lt;%|\[%|@@|__[A-Z]|%s|TODO:|\[\[\+"
 
-    Records are chosen by a hash of their id, a filter that runs where the rows are, so the choice is the same on every
-    run. `sample` bounds what the driver holds (some passages of about a hundred characters for each record).
+
+def train(df: DataFrame, id_col: str, html_col: str, status_col: str, sample: int = 12000, short: int = 900, rare: float = 0.02) -> Bayes:
+    """Fit on the passages of at most `sample` records: half that look telling at first sight (a short page or a telling
+    shape), half of all others; of each half those with the least hash of their id, so every run takes the same.
+
+    One scan: the number of rows, known from the files, gives how small a hash must be for enough rows to be left (the
+    telling ones are taken to be at least `rare` of all, else fewer train); what is parsed are those rows only, and the
+    choice among them is a ranking limited within each partition. `sample` bounds what the driver holds.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"), F.col(status_col).alias("status")).where("html is not null")
-    likely = (F.length("html") < 900) | F.col("html").rlike(r"(?i)lorem|ipsum|\{\{|\$\{|#\{|&lt;%|\[%|@@|__[A-Z]|%s|TODO:|\[\[\+")
-    n = rows.agg(F.count_if(likely).alias("likely"), F.count_if(~likely).alias("other")).first()
     half = max(1, sample // 2)
-    spread = F.xxhash64("id")
-    some = rows.where(
-        (likely & (F.pmod(spread, F.lit(max(1, -(-n.likely // half)))) == 0)) | (~likely & (F.pmod(spread, F.lit(max(1, -(-n.other // half)))) == 0))
-    )
+    rows = df.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"), F.col(status_col).alias("status"))
+    n = max(1, rows.count())
+    spread = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / F.lit(1 << 40)
+    rows = rows.where("html is not null").withColumn("at", spread).where(F.col("at") < half / (rare * n))
+    rows = rows.withColumn("telling", (F.length("html") < short) | F.col("html").rlike(_TELLING))
+    rows = rows.where(F.col("telling") | (F.col("at") < 1.25 * half / n)).select("telling", "at", "html", "status")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label, text = [], []
-            for html, status in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                kind, found = trusted(parse(html), status)
-                label += [kind] * len(found)
-                text += found
-            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(text, pa.string())], names=["label", "text"])
-
-    table = some.select("html", "status").mapInArrow(run, "label int, text string").toArrow()
+            made = [trusted(parse(html), status) for html, status in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            columns = [batch.column(0), batch.column(1), pa.array([k for k, _ in made], pa.int32()), pa.array([t for _, t in made], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["telling", "at", "label", "texts"])
+
+    seen = rows.mapInArrow(run, "telling boolean, at double, label int, texts array<string>")
+    rank = F.row_number().over(Window.partitionBy("telling").orderBy("at"))
+    table = seen.withColumn("rank", rank).where(F.col("rank") <= half).select("label", F.explode("texts").alias("text")).toArrow()
     return Bayes.fit(*settled(table.column("label").to_pylist(), table.column("text").to_pylist()))
 
 
