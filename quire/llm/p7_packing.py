@@ -11,7 +11,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.shared import materialize
@@ -57,23 +57,31 @@ class TokenCounter:
 
 
 def token_counts(df: DataFrame, id_col: str, text_col: str, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(id, tokens): size of each text in tokens of a public tokenizer. A null text has null tokens, '' has 0."""
+    """(id, tokens, loss): size of each text in tokens of a public tokenizer, and how many of them bear loss.
+
+    The first paragraph of a text of several is its prompt and bears none. A null text has nulls, '' has 0.
+    """
     path = os.path.join(tokenizers, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         counter = TokenCounter(path)
         for batch in batches:
-            out: list[int | None] = []
             coded = batch.column(1).dictionary_encode()
-            texts, done = coded.dictionary.to_pylist(), []
+            texts = coded.dictionary.to_pylist()
+            sizes: list[int] = []
+            prompts: list[int] = []
             for i in range(0, len(texts), 256):
-                done += counter.counts(texts[i : i + 256])
-            out = [None if k is None else done[k] for k in coded.indices.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int32())], names=["id", "tokens"])
+                part = texts[i : i + 256]
+                sizes += counter.counts(part)
+                prompts += counter.counts([t[:k] if (k := t.find("\n\n")) > 0 else "" for t in part])
+            at = coded.indices.to_pylist()
+            out = [None if k is None else sizes[k] for k in at]
+            loss = [None if k is None else max(0, sizes[k] - prompts[k]) for k in at]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int32()), pa.array(loss, pa.int32())], names=["id", "tokens", "loss"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, tokens int")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, tokens int, loss int")
 
 
 def place(sizes: np.ndarray, capacity: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
@@ -124,58 +132,51 @@ def pack(
     targets: DataFrame,
     id_col: str,
     tokens_col: str,
+    loss_col: str | None = None,
     max_segments: int = 64,
-    loss_share: Column | None = None,
-    loss_limit: float = 1.0,
+    loss_limit: float = 0.99,
     lot: int = 4096,
 ) -> DataFrame:
     """Assign items to containers of each target's capacity under three limits at once.
 
     The limits are tokens (`capacity_tokens`), segments (`max_segments`) and loss-bearing tokens (`loss_limit` of the
-    capacity; `loss_share` gives an item's share of tokens that bear loss, by default all). An item larger than the
-    capacity is split into full containers' worth and a rest; no other is split. Result: target_id, container, id,
-    part (from 1), tokens. Items of null or zero size take no room and have no row. Targets are a stated, short list.
+    capacity; `loss_col` holds an item's number of them, null counts as none, without it none are counted). An item that exceeds a limit by
+    itself is split into the fewest parts of equal share of loss that do not, each as large as the limits let it be but
+    the last; no other is split. Result: target_id, container, id, part (from 1), tokens, loss. Items of null or zero
+    size take no room and have no row. Targets are a stated, short list.
 
-    Items are dealt to lots by a hash of their id, about `lot` pieces each, and packed lot by lot; only the last few
+    Items are dealt to lots by a hash of their id, about `lot` of them each, and packed lot by lot; only the last few
     containers of a lot are not full, which costs well under one container in a hundred. No lot grows with the data or
     with a source, so no task does.
     """
-    loss = F.lit(1.0) if loss_share is None else F.coalesce(loss_share, F.lit(1.0))
-    sized = items.select(F.col(id_col).alias("id"), F.col(tokens_col).cast("long").alias("all"), loss.alias("share")).where("all > 0")
+    loss = F.lit(0) if loss_col is None else F.least(F.coalesce(F.col(loss_col), F.lit(0)), F.col(tokens_col))
+    sized = items.select(F.col(id_col).alias("id"), F.col(tokens_col).cast("long").alias("all"), loss.cast("long").alias("bears")).where("all > 0")
     sized = materialize(sized, "p7-sizes")  # counted and packed: the tokenizer runs once
     wanted = targets.select("target_id", F.col("capacity_tokens").cast("long").alias("cap")).where("cap > 0").collect()
     count = max(1, -(-sized.count() // lot))
     tid = targets.schema["target_id"].dataType.simpleString()
     each = F.array(*(F.struct(F.lit(t.target_id).cast(tid).alias("target_id"), F.lit(t.cap).cast("long").alias("cap")) for t in wanted))
     each = each if wanted else F.from_json(F.lit("[]"), f"array<struct<target_id:{tid},cap:bigint>>")
-    pieces = sized.withColumn("t", F.explode(each)).select("id", "all", "share", "t.target_id", "t.cap")
-    pieces = pieces.withColumn("full", F.floor(F.col("all") / F.col("cap")))
-    pieces = pieces.withColumn("rest", F.col("all") - F.col("full") * F.col("cap"))
-    whole = pieces.where("full > 0").select(
-        "target_id", "id", F.explode(F.sequence(F.lit(1), F.col("full").cast("int"))).alias("part"), F.col("cap").alias("tokens")
-    )
-    whole = whole.select(
-        "target_id",
-        F.concat_ws("-", F.lit("w"), F.col("id").cast("string"), F.col("part").cast("string")).alias("container"),
-        "id",
-        "part",
-        F.col("tokens").cast("int").alias("tokens"),
-    )
-    rests = pieces.where("rest > 0").select(
-        "target_id",
-        "cap",
-        "id",
-        (F.col("full") + 1).cast("int").alias("part"),
-        F.col("rest").alias("tokens"),
-        F.least(F.ceil(F.col("rest") * F.col("share")), F.floor(F.col("cap") * F.lit(float(loss_limit)))).alias("loss"),
-        F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("lot"),
+    pieces = sized.withColumn("t", F.explode(each)).select("id", "all", "bears", "t.target_id", "t.cap")
+    # the most tokens of this item that keep both limits; its loss is spread evenly, rounded up
+    most = F.floor(F.floor(F.col("cap") * F.lit(float(loss_limit))) * F.col("all") / F.greatest(F.col("bears"), F.lit(1)))
+    most = F.when(F.col("bears") > 0, F.greatest(F.least(F.col("cap"), most), F.lit(1))).otherwise(F.col("cap"))
+    pieces = pieces.withColumn("most", most).withColumn("parts", F.ceil(F.col("all") / F.col("most")).cast("int"))
+    pieces = pieces.select("*", F.explode(F.sequence(F.lit(1), F.col("parts"))).alias("part"))
+    size = F.least(F.col("most"), F.col("all") - (F.col("part") - 1) * F.col("most"))
+    pieces = pieces.select(
+        "target_id", "cap", "id", "part", size.alias("tokens"), F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("lot"), "all", "bears"
     )
+    bound = F.floor(F.col("cap") * F.lit(float(loss_limit)))
+    share = F.least(F.ceil(F.col("bears") * F.col("tokens") / F.col("all")), F.col("tokens"))
+    # a part of one token or a rounding up may touch the bound by one token, never pass it
+    pieces = pieces.withColumn("loss", F.least(share, F.greatest(bound, F.lit(1))).cast("long")).drop("all", "bears")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         cap = int(pdf["cap"].iloc[0])
         pdf = pdf.sort_values(["id", "part"], kind="stable")
         sizes = np.stack([pdf["tokens"].to_numpy(), np.ones(len(pdf), dtype=np.int64), pdf["loss"].to_numpy()], axis=1).astype(np.int64)
-        at = place(sizes, np.array([cap, max_segments, int(cap * loss_limit)]))
+        at = place(sizes, np.array([cap, max_segments, max(1, int(cap * loss_limit))]))
         lot_no = str(pdf["lot"].iloc[0])
         return pd.DataFrame(
             {
@@ -184,9 +185,9 @@ def pack(
                 "id": pdf["id"].to_numpy(),
                 "part": pdf["part"].to_numpy(),
                 "tokens": pdf["tokens"].to_numpy().astype("int32"),
+                "loss": pdf["loss"].to_numpy().astype("int32"),
             }
         )
 
     kind = items.schema[id_col].dataType.simpleString()
-    packed = rests.groupBy("target_id", "lot").applyInPandas(one, f"target_id {tid}, container string, id {kind}, part int, tokens int")
-    return packed.unionByName(whole)
+    return pieces.groupBy("target_id", "lot").applyInPandas(one, f"target_id {tid}, container string, id {kind}, part int, tokens int, loss int")
