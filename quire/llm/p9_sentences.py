@@ -1,7 +1,8 @@
 """Problem 9: sentence boundaries across languages and scripts, by a finite transducer run as a parallel prefix scan.
 
-A lexer turns each text into a short string of symbols (paragraph breaks, sentence ends, quotation marks, blanks of
-scripts without full stops). The boundary rules are one table: state x symbol -> state, boundary or not. The symbols
+A lexer turns each text into a tape of token classes: what kind of word stands before a sign, the sign, what follows it,
+quotation marks, paragraph breaks, blanks of scripts without full stops. It decides nothing; whether a sentence ends is
+said by the boundary rules, which are compiled into one transducer: state x symbol -> state, boundary or not. The symbols
 of all texts of a batch form one tape that is cut into chunks; each chunk becomes its state-transition function, the
 functions are composed by a parallel prefix scan, and a second sweep emits the boundaries of all chunks at once. A
 text of any length therefore costs a number of vector steps that depends on the chunk length, not on the text.
@@ -34,43 +35,118 @@ BEFORE_NUMBER = frozenset("no No Nos nr p P S tr sec ch Ch art No".split())
 # Last letters of dotted abbreviations that may end a sentence before a capital.
 MAY_END = frozenset(["a.m", "p.m", "v.v", "A.M", "P.M"])
 
-# Symbols of the tape.
-PARA, HEAD, END, OPEN, OPEN_NEXT, CLOSE, CLOSE_CALL, CLOSE_STOP, BLANK, SPEECH_CALL = range(10)
-# States. START: nothing of the sentence yet; SPEECH: inside quotation marks that began the sentence; TOLD: after such
-# speech, in the words that attribute it; PLAIN; QUOTE: inside quotation marks within a sentence; TITLE: a heading.
-START, SPEECH, TOLD, PLAIN, QUOTE, TITLE = range(6)
+# Symbols of the tape. Every paragraph begins with PARA, or with HEAD if it is a heading.
+_SYMBOLS = """
+PARA HEAD OPEN OPEN_CLEAN CLOSE BLANK SPEECH_END
+W_NEVER W_NUMBER W_ORDINAL W_UNCASED
+S_STOP S_STOP_CALL S_CALL S_CALL_STOP S_DOTS S_DOTS_CALL S_WIDE S_DANDA
+Q_STOP Q_STOP_CALL Q_CALL Q_CALL_STOP Q_DOTS Q_DOTS_CALL Q_WIDE Q_DANDA
+N_LAST N_GLUED N_UPPER N_LOWER N_DIGIT N_CASELESS N_OTHER N_QUOTATIVE
+NOTHING
+""".split()
+CODE = {name: k for k, name in enumerate(_SYMBOLS)}
+# W_: the word before a sign, if it is no plain one: never ends a sentence, goes on before a number, or before a capital,
+# or is of a script without case that has full stops, so that a letter without case may follow.
+# S_: a sign, Q_: a sign with a closing mark behind it. _CALL: the last sign is an exclamation, question mark or ellipsis.
+# N_: what follows: nothing or an empty line, no blank, a capital, a small letter, a digit, a letter without case, other
+# signs, a particle that quotes. OPEN: a quotation mark with text between it and the symbol before, OPEN_CLEAN: without.
+
+# Where the sentence stands. START: nothing of it yet; SPEECH: inside quotation marks that began it; TOLD: after such
+# speech, in the words that attribute it; PLAIN; QUOTE: inside quotation marks within it; TITLE: a heading.
+PLACES = ("START", "SPEECH", "TOLD", "PLAIN", "QUOTE", "TITLE")
+
+# What follows a sign so that the sentence may end there; the word before it takes away from this.
+_ENDS_BEFORE = {
+    "STOP": {"N_UPPER", "N_DIGIT"},
+    "CALL": {"N_UPPER", "N_DIGIT", "N_CASELESS"},
+    "DOTS": {"N_UPPER", "N_DIGIT"},
+    "WIDE": {"N_GLUED", "N_UPPER", "N_LOWER", "N_DIGIT", "N_CASELESS", "N_OTHER"},
+    "DANDA": {"N_GLUED", "N_UPPER", "N_LOWER", "N_DIGIT", "N_CASELESS", "N_OTHER", "N_QUOTATIVE"},
+}
+_ENDS_ALSO_BEFORE = {"W_UNCASED": {"N_CASELESS"}}
+_GOES_ON_BEFORE = {"W_NEVER": {"N_UPPER", "N_DIGIT"}, "W_NUMBER": {"N_DIGIT"}, "W_ORDINAL": {"N_UPPER"}}
+
+# The rules of the places: event -> for each of START, SPEECH, TOLD, PLAIN, QUOTE the next place; * marks a boundary.
+_RULES = {
+    "end": ("START*", "SPEECH*", "START*", "START*", "QUOTE*"),
+    "no end": ("PLAIN", "SPEECH", "TOLD", "PLAIN", "QUOTE"),
+    "open": ("QUOTE", "SPEECH", "QUOTE", "QUOTE", "QUOTE"),  # text stands before the mark
+    "open clean": ("SPEECH", "SPEECH", "QUOTE", "QUOTE", "QUOTE"),  # the mark begins the sentence
+    "close": ("PLAIN", "TOLD", "TOLD", "PLAIN", "PLAIN"),  # no end inside the mark, or the sentence plainly goes on
+    "close call": ("START*", "TOLD", "START*", "START*", "START*"),  # ! or ? inside the mark: attribution may follow
+    "close stop": ("START*", "START*", "START*", "START*", "START*"),  # full stop inside the mark
+    "blank": ("START*", "SPEECH", "START*", "START*", "QUOTE"),  # blank that ends a sentence in scripts without stops
+}
+
+
+def _step(place: str, word: str, sign: str, symbol: str) -> tuple[tuple[str, str, str], bool]:
+    """One step of the machine the rules describe: its state is a place, a word class and a sign waiting for what follows."""
+
+    def take(event: str) -> tuple[tuple[str, str, str], bool]:
+        to = _RULES[event][PLACES.index(place)]
+        return (to.rstrip("*"), "", ""), to.endswith("*")
+
+    if symbol == "NOTHING":  # fills up a chunk
+        return (place, word, sign), False
+    if symbol in ("PARA", "HEAD"):
+        return ("START" if symbol == "PARA" else "TITLE", "", ""), True
+    if place == "TITLE":
+        return (place, "", ""), False
+    if symbol.startswith("W_"):
+        return (place, symbol, ""), False
+    if symbol[:2] in ("S_", "Q_"):
+        return (place, word, symbol), False
+    if symbol.startswith("N_") and sign:
+        kind, _, call = sign[2:].partition("_")
+        ends = symbol in _ENDS_BEFORE[kind] or kind == "STOP" and symbol in _ENDS_ALSO_BEFORE.get(word, ())
+        ends = ends and not (kind == "STOP" and symbol in _GOES_ON_BEFORE.get(word, ()))
+        if sign.startswith("S_"):
+            return ((place, "", ""), False) if symbol == "N_LAST" else take("end" if ends else "no end")
+        calls = kind == "WIDE" or (call == "CALL" if call else kind == "CALL")
+        return take(("close call" if calls else "close stop") if ends else "close")
+    event = {"OPEN": "open", "OPEN_CLEAN": "open clean", "CLOSE": "close", "BLANK": "blank", "SPEECH_END": "close call"}.get(symbol)
+    return take(event) if event else ((place, "", ""), False)
 
 
 def _compile() -> tuple[np.ndarray, np.ndarray]:
-    """The transducer's tables: next state and boundary, by state and symbol."""
-    step = np.zeros((6, 10), dtype=np.uint8)
-    cut = np.zeros((6, 10), dtype=bool)
-    rules = {
-        # symbol: (from START, SPEECH, TOLD, PLAIN, QUOTE); * marks a boundary
-        END: ("START*", "SPEECH*", "START*", "START*", "QUOTE*"),
-        OPEN: ("QUOTE", "SPEECH", "QUOTE", "QUOTE", "QUOTE"),  # text stands before the mark
-        OPEN_NEXT: ("SPEECH", "SPEECH", "QUOTE", "QUOTE", "QUOTE"),  # the mark stands at the last end or break
-        CLOSE: ("PLAIN", "TOLD", "TOLD", "PLAIN", "PLAIN"),  # no end, or the sentence plainly goes on
-        CLOSE_CALL: ("START*", "TOLD", "START*", "START*", "START*"),  # ! or ? inside the mark: attribution may follow
-        CLOSE_STOP: ("START*", "START*", "START*", "START*", "START*"),  # full stop inside the mark
-        BLANK: ("START*", "SPEECH", "START*", "START*", "QUOTE"),  # blank that ends a sentence in scripts without stops
-        SPEECH_CALL: ("START*", "TOLD", "START*", "START*", "START*"),  # mark closed without an end, in such scripts
-    }
-    names = {"START": START, "SPEECH": SPEECH, "TOLD": TOLD, "PLAIN": PLAIN, "QUOTE": QUOTE}
-    for symbol, row in rules.items():
-        for state, to in enumerate(row):
-            step[state, symbol], cut[state, symbol] = names[to.rstrip("*")], to.endswith("*")
-        step[TITLE, symbol] = TITLE
-    step[:, PARA], cut[:, PARA] = START, True
-    step[:, HEAD], cut[:, HEAD] = TITLE, True
-    return step, cut
+    """The transducer's tables, next state and boundary by state and symbol: all states the rules reach, equal ones merged.
+
+    The first states are the places themselves; in the others a word or a sign waits for what follows.
+    """
+    states = [(place, "", "") for place in PLACES]
+    moves: list[list[tuple[int, bool]]] = []
+    known = {state: k for k, state in enumerate(states)}
+    for state in states:  # grows while it is walked
+        row = []
+        for symbol in _SYMBOLS:
+            to, cut = _step(*state, symbol)
+            if to not in known:
+                known[to] = len(states)
+                states.append(to)
+            row.append((known[to], cut))
+        moves.append(row)
+    group = [0] * len(states)
+    while True:  # states are equal if they emit and lead to the same
+        signs = [tuple((group[to], cut) for to, cut in row) for row in moves]
+        fresh = {sign: k for k, sign in enumerate(dict.fromkeys(zip(group, signs, strict=True)))}
+        merged = [fresh[g, s] for g, s in zip(group, signs, strict=True)]  # numbered as they are met: the places come first
+        if len(set(merged)) == len(set(group)):
+            break
+        group = merged
+    step = np.zeros((len(set(group)), len(_SYMBOLS)), dtype=np.uint8)
+    emit = np.zeros(step.shape, dtype=bool)
+    for k, row in enumerate(moves):
+        step[group[k]] = [group[to] for to, _ in row]
+        emit[group[k]] = [cut for _, cut in row]
+    return step, emit
 
 
 STEP, CUT = _compile()
+_WAITING = np.array([name[:2] in ("W_", "S_", "Q_") for name in _SYMBOLS])
 
 _EVENT = re.compile(
     r"(\n[^\S\n]*\n\s*)"  # 1 paragraph break
-    r"|([.!?…]+(?:[)\]]|[    ]?»|”|’(?!\w)|[\"“](?!\w)|[』」])*)"  # 2 end of the scripts with blanks
+    r"|([.!?…\u061f\u06d4]+(?:[)\]]|[    ]?»|”|’(?!\w)|[\"“](?!\w)|[』」])*)"  # 2 end of the scripts with blanks
     r"|([。！？．｡]+[」』”’）)》〉\"]*)"  # 3 end of the scripts without blanks
     r"|([।॥]+[\"”’)]*)"  # 4 danda
     r"|([\"“”„«»「」『』])"  # 5 quotation mark
@@ -84,6 +160,7 @@ _ORDINAL = re.compile(r"(?:^|[^\W\d_]|\s)(?:[Aa]m|[Ii]m|[Dd]er|[Dd]ie|[Dd]as|[Dd
 _AT_HOUR = re.compile(r"(?:^|[.!?…][\"”»]?\s|\n)\s*[\"“«]?[A-ZÀ-Þ]\w{0,4}\s+\d[\d:.]*\s+\Z")
 _CLOSERS = "\"“”’»』」"
 _CASELESS = re.compile(r"[ऀ-෿฀-໿က-႟぀-ヿ㐀-鿿가-힯֐-ۿ]")
+_STOPPED = re.compile("[\u0590-\u07ff\uac00-\ud7af]")  # Hebrew, Arabic, Syriac, Hangul
 _OPENERS = "\"“„«「『(¿¡[—–-‘’'*_"
 
 
@@ -116,54 +193,50 @@ def _next(text: str, i: int) -> tuple[str, str]:
     return blank, "."
 
 
-def _ends(text: str, start: int, sign: str, kind: str) -> bool:
-    """Whether the signs at `start`, followed by a blank and then `kind`, can end a sentence."""
-    if kind == "L":
-        return False
-    if sign[0] != "." or sign.startswith(".."):
-        return kind in "UD" or (kind == "C" and sign[0] in "!?") or kind == "."
-    if kind == "C" or _CASELESS.match(text[start - 1] if start else ""):
-        return False  # a full stop ends no sentence of these scripts
+def _word_before(text: str, start: int) -> str:
+    """Class of what stands before a full stop: a W_ symbol, or '' for a plain word."""
+    if _CASELESS.match(before := text[start - 1] if start else ""):
+        return "W_UNCASED" if _STOPPED.match(before) else "W_NEVER"  # a full stop ends no sentence of the others
     word = _WORD.search(text, max(0, start - 16), start)
     if word is None:
-        if kind == "U" and _ORDINAL.search(text, max(0, start - 12), start):
-            return False
+        if _ORDINAL.search(text, max(0, start - 12), start):
+            return "W_ORDINAL"
         head = text[max(0, start - 8) : start]
-        if _NUMBERED.match(head.rsplit("\n", 1)[-1]) and (start < 8 or "\n\n" in head or "\n" in head):
+        if _NUMBERED.match(head.rsplit("\n", 1)[-1]) and (start < 8 or "\n" in head):
             line = text.rfind("\n", 0, start) + 1
-            return not (text[line:start].strip().isdigit() and (line == 0 or text[:line].rstrip(" \t").endswith("\n\n")))
-        return True
+            first = line == 0 or text[:line].rstrip(" \t").endswith("\n\n")
+            return "W_NEVER" if first and text[line:start].strip().isdigit() else ""
+        return ""
     w = word.group()
-    if w in GOES_ON or (kind == "D" and w in BEFORE_NUMBER):
-        return False
+    if w in GOES_ON:
+        return "W_NEVER"
+    parts = re.split(r"[.-]+", w)
     last = w.rpartition(".")[2]
     if "." in w and len(last.lstrip("-")) == 1:
-        if w not in MAY_END:
-            return False
-        return not _AT_HOUR.search(text, max(0, word.start() - 24), word.start())
-    if "." in w and last in GOES_ON:
-        return False
-    if all(len(part) == 1 for part in re.split(r"[.-]+", w)):  # an initial, or letters joined by stops and hyphens
-        return False
-    return True
+        return "" if w in MAY_END and not _AT_HOUR.search(text, max(0, word.start() - 24), word.start()) else "W_NEVER"
+    if "." in w and last in GOES_ON or all(len(part) == 1 for part in parts):  # an initial, or letters joined by stops
+        return "W_NEVER"
+    return "W_NUMBER" if w in BEFORE_NUMBER else ""
+
+
+_NEXT = {"U": CODE["N_UPPER"], "L": CODE["N_LOWER"], "D": CODE["N_DIGIT"], "C": CODE["N_CASELESS"], ".": CODE["N_OTHER"]}
+_DASHES = " \n\t\u00a0\u3000—–-¡¿"  # may stand between the start of a sentence and its quotation mark
 
 
 def lex(text: str) -> tuple[list[int], list[int]]:
     """Symbols of a text, and the position of each: where the next sentence could begin."""
+    code = CODE
     lead = len(text) - len(text.lstrip())
-    symbols = [HEAD if _HEADING.match(text, lead) else PARA]
+    symbols = [code["HEAD" if _HEADING.match(text, lead) else "PARA"]]
     at = [lead]
-    edge = lead  # text up to here is an end, a break or blanks
     add, put = symbols.append, at.append
     for m in _EVENT.finditer(text, lead):
         g = m.lastindex
         s, e = m.span()
         if g == 1:
-            add(HEAD if _HEADING.match(text, e) else PARA)
+            add(code["HEAD" if _HEADING.match(text, e) else "PARA"])
             put(e)
-            edge = e
-            continue
-        if g == 5:
+        elif g == 5:
             c = m.group()
             if c in "„«「『":
                 opens = True
@@ -175,86 +248,75 @@ def lex(text: str) -> tuple[list[int], list[int]]:
                 before = text[s - 1] if s else " "
                 opens = (before.isspace() or before in "([—–-:¿¡“「") and e < len(text) and not text[e].isspace()
             if opens:
-                add(OPEN_NEXT if not text[edge:s].strip(" \n\t 　—–-¡¿") else OPEN)
-                put(e)
-                continue
-            blank, kind = _next(text, e)
-            if blank and kind == "C" and "ก" <= text[s - 1] <= "໿":
-                add(SPEECH_CALL)
-                edge = e
+                add(code["OPEN" if text[at[-1] : s].strip(_DASHES) else "OPEN_CLEAN"])
             else:
-                add(CLOSE)
+                blank, kind = _next(text, e)
+                add(code["SPEECH_END" if blank and kind == "C" and "ก" <= text[s - 1] <= "໿" else "CLOSE"])
             put(e)
-            continue
-        if g == 6:
-            a, b = text[s - 1], text[e]
-            if a != "ๆ" and b != "ๆ":
-                add(BLANK)
-                put(e)
-                edge = e
-            continue
-        signs = m.group()
-        body = signs.rstrip(_CLOSERS + ")]）》〉    ")
-        closed = any(c in _CLOSERS for c in signs[len(body) :])
-        blank, kind = _next(text, e)
-        if kind == "":
-            if closed:
-                add(CLOSE)
+        elif g == 6:
+            if text[s - 1] != "ๆ" and text[e] != "ๆ":
+                add(code["BLANK"])
                 put(e)
-            continue
-        if g == 2:
-            ends = bool(blank) and _ends(text, s, body, kind)
-            if ends and kind == ".":
-                ends = False
-        elif g == 3:
-            ends = not text.startswith(("と", "って"), e)
         else:
-            ends = True
-        if not closed:
-            if ends:
-                add(END)
-                put(e)
-                edge = e
-            continue
-        call = g == 3 or body[-1] in "!?…"
-        if not ends:
-            add(CLOSE)
-        else:
-            add(CLOSE_CALL if call else CLOSE_STOP)
-            edge = e
-        put(e)
+            signs = m.group()
+            body = signs.rstrip(_CLOSERS + ")]）》〉\u00a0\u2009\u202f ")
+            closed = any(c in _CLOSERS for c in signs[len(body) :])
+            if g == 2:
+                kind = "DOTS" if body.startswith("..") or body[0] == "…" else "STOP" if body[0] in ".\u06d4" else "CALL"
+                kind += "_CALL" if kind != "CALL" and body[-1] in "!?…\u061f" else "_STOP" if kind == "CALL" and body[-1] in ".\u06d4" else ""
+                if kind.startswith("STOP") and (word := _word_before(text, s)):
+                    add(code[word])
+                    put(e)
+            else:
+                kind = "WIDE" if g == 3 else "DANDA"
+            add(code[("Q_" if closed else "S_") + kind])
+            put(e)
+            blank, after = _next(text, e)
+            if after == "":
+                add(code["N_LAST"])
+            elif g == 3 and text.startswith(("と", "って"), e):
+                add(code["N_QUOTATIVE"])
+            elif not blank:
+                add(code["N_GLUED"])
+            else:
+                add(_NEXT[after])
+            put(e)
     return symbols, at
 
 
 def scan(symbols: np.ndarray, chunk: int = 64) -> np.ndarray:
-    """Whether each symbol of the tape is a boundary. Every text's symbols must begin with PARA or HEAD.
+    """Whether each symbol of the tape is a boundary. Every text's symbols begin with PARA or HEAD.
 
-    The tape is cut into chunks. Sweep one steps all chunks together and yields each chunk's function from state to
-    state; the functions are composed by a Hillis-Steele prefix scan; sweep two steps all chunks from their now known
-    first state and emits.
+    The tape is cut into chunks, none between a sign and what follows it, so a chunk begins and ends in one of the places.
+    Sweep one steps all chunks together and yields each chunk's function from place to place; the functions are composed
+    by a Hillis-Steele prefix scan; sweep two steps all chunks from their now known first place and emits.
     """
     n = len(symbols)
     if n == 0:
         return np.zeros(0, dtype=bool)
-    lanes = -(-n // chunk)
-    tape = np.full(lanes * chunk, PARA, dtype=np.uint8)
-    tape[:n] = symbols
-    tape = tape.reshape(lanes, chunk)
-    states = STEP.shape[0]
-    functions = np.tile(np.arange(states, dtype=np.uint8), (lanes, 1))
-    for i in range(chunk):
+    first = np.arange(0, n, chunk)
+    while (late := _WAITING[symbols[np.minimum(first, n) - 1]] & (first > 0) & (first < n)).any():
+        first = first + late
+    first = np.unique(first[first < n])
+    size = np.diff(np.append(first, n))
+    lanes, width = len(first), int(size.max())
+    at = first[:, None] + np.arange(width)
+    inside = np.arange(width) < size[:, None]
+    tape = np.where(inside, symbols[np.minimum(at, n - 1)], CODE["NOTHING"])
+    functions = np.tile(np.arange(len(PLACES), dtype=np.uint8), (lanes, 1))
+    for i in range(width):
         functions = STEP[functions, tape[:, i, None]]
     reach = 1
     while reach < lanes:  # functions[k] becomes the composition of all chunks up to k
         later = functions.copy()
         later[reach:] = np.take_along_axis(functions[reach:], functions[:-reach], axis=1)
         functions, reach = later, reach * 2
-    state = np.concatenate(([START], functions[:-1, START])).astype(np.uint8)
-    out = np.empty((lanes, chunk), dtype=bool)
-    for i in range(chunk):
+    state = np.concatenate(([0], functions[:-1, 0])).astype(np.uint8)
+    out = np.empty((lanes, width), dtype=bool)
+    for i in range(width):
         out[:, i] = CUT[state, tape[:, i]]
         state = STEP[state, tape[:, i]]
-    return out.reshape(-1)[:n]
+    return out[inside]
 
 
 _SAYS = re.compile(r"[^\W_]")

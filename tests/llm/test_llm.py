@@ -414,6 +414,9 @@ def units(text):
         ("3.5 coins were paid. He left.\n\n12. He left. Then she came.", ["3.5 coins were paid.", "He left.", "12. He left.", "Then she came."]),
         ("บทที่ 24 – ตะเกียง แห่งฤดูหนาว\n\n12. ตะเกียง สีเถ้า", ["บทที่ 24 – ตะเกียง แห่งฤดูหนาว", "12. ตะเกียง สีเถ้า"]),
         ("* * *\n\n…\n\nText.", ["Text."]),
+        ("비가 왔다. 그는 집에 갔다. 3.5 킬로였다.", ["비가 왔다.", "그는 집에 갔다.", "3.5 킬로였다."]),
+        ("ذهب الرجل. هل عاد؟ نعم.", ["ذهب الرجل.", "هل عاد؟", "نعم."]),
+        ("הוא הלך. היא באה.", ["הוא הלך.", "היא באה."]),
         ("", []),
         ("   \n\n  ", []),
     ],
@@ -424,9 +427,12 @@ def test_sentences(text, want):
 
 def test_scan_equals_one_step_at_a_time():
     rng = np.random.default_rng(11)
-    tape = rng.integers(0, 10, 5000).astype(np.uint8)
-    tape[0] = p9_sentences.PARA
-    state, want = p9_sentences.START, []
+    code, waiting = p9_sentences.CODE, p9_sentences._WAITING
+    tape = rng.integers(0, code["NOTHING"], 5000).astype(np.uint8)
+    tape[0] = code["PARA"]
+    tape[np.flatnonzero(waiting[tape[:-1]]) + 1] = code["N_UPPER"]  # a sign never waits long for what follows it
+    tape[-1] = code["N_LAST"]
+    state, want = 0, []
     for s in tape:
         want.append(bool(p9_sentences.CUT[state, s]))
         state = p9_sentences.STEP[state, s]
