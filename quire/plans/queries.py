@@ -150,12 +150,6 @@ def addresses(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
-def slug_titles(spark: SparkSession, d: str) -> DataFrame:
-    u = F.col("start_url")
-    return table(spark, d, "story_progress").select("story_id", U.title_from_slug(u).alias("title"), U.domain_tag(u).alias("tag"))
-
-
 def _normal(c: str) -> str:
     plain = rf"regexp_replace(coalesce({c}, ''), '[\x00-\x1f\x7f]', '', 'g')"
     return _strip(rf"regexp_replace({_strip(rf"regexp_replace({plain}, '[ \t]+', ' ', 'g')")}, '[\-–—]+\s*$', '', 'g')")
@@ -412,14 +406,15 @@ def _mode(mode: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         c = F.col
         out = render.rendered(mode, c("title"), c("chapter_index"), c("text"), F.lit(None).cast("string"), c("source"))
-        return table(spark, d, "documents").select("doc_id", out.alias("content"))
+        return table(spark, d, "documents", spread=True).select("doc_id", out.alias("content"))
 
     run.__name__ = f"render_{mode}"
     return run
 
 
 for _m in render.MODES:
-    query()(_mode(_m))
+    if _m != "obsidian":  # with its SQL in plans/stores.py
+        query()(_mode(_m))
 
 
 # ---- cleaning ---------------------------------------------------------------------------------------------------------
@@ -513,8 +508,12 @@ def profiles_reconciled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from quire.plans import stores  # noqa: F401  registers its queries
+
     return dict(_REGISTRY)
 
 
 def oracle_sql() -> dict[str, str]:
+    from quire.plans import stores  # noqa: F401
+
     return dict(_SQL)
