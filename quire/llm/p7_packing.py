@@ -105,24 +105,29 @@ def place(sizes: np.ndarray, capacity: np.ndarray, weights: np.ndarray | None =
     w = load / max(load.max(), 1e-12) if weights is None else np.asarray(weights, dtype=float)
     w = w / np.maximum(capacity, 1).astype(float) ** 2
     weighted = kinds * w
-    container, done = 0, 0
-    room = capacity.astype(np.int64).copy()
     largest = np.argsort(-(weighted @ capacity.astype(float)), kind="stable")
     weighted, kinds, left, taken = weighted[largest], kinds[largest], left[largest], taken[largest]
+    container = done = 0
+    room = capacity.astype(np.int64).copy()
+    columns = [(np.ascontiguousarray(kinds[:, j]), np.ascontiguousarray(weighted[:, j])) for j in range(kinds.shape[1])]
     while done < n:
-        fits = (left > 0) & (kinds <= room).all(axis=1)
-        at = np.flatnonzero(fits)
-        if len(at) == 0:
+        value = np.where(left > 0, 0.0, -np.inf)
+        for j, (size, weight) in enumerate(columns):
+            value += weight * float(room[j])
+            value[size > room[j]] = -np.inf
+        k = int(np.argmax(value))
+        if value[k] == -np.inf:
             container += 1
             room = capacity.astype(np.int64).copy()
             keep = left > 0
-            weighted, kinds, left, taken = weighted[keep], kinds[keep], left[keep], taken[keep]
+            left, taken = left[keep], taken[keep]
+            columns = [(size[keep], weight[keep]) for size, weight in columns]
             continue
-        k = at[np.argmax(weighted[at] @ room.astype(float))]
         out[order[taken[k]]] = container
         taken[k] += 1
         left[k] -= 1
-        room -= kinds[k]
+        for j, (size, _) in enumerate(columns):
+            room[j] -= size[k]
         done += 1
     return out
 
@@ -165,12 +170,19 @@ def pack(
     pieces = pieces.select("*", F.explode(F.sequence(F.lit(1), F.col("parts"))).alias("part"))
     size = F.least(F.col("most"), F.col("all") - (F.col("part") - 1) * F.col("most"))
     pieces = pieces.select(
-        "target_id", "cap", "id", "part", size.alias("tokens"), F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("lot"), "all", "bears"
+        "target_id", "cap", "id", "part", size.alias("tokens"), F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("lot"), "all", "bears", "most"
     )
     bound = F.floor(F.col("cap") * F.lit(float(loss_limit)))
     share = F.least(F.ceil(F.col("bears") * F.col("tokens") / F.col("all")), F.col("tokens"))
     # a part of one token or a rounding up may touch the bound by one token, never pass it
     pieces = pieces.withColumn("loss", F.least(share, F.greatest(bound, F.lit(1))).cast("long")).drop("all", "bears")
+    # a part as large as the limits let it be leaves no room: it is a container by itself
+    full = F.col("tokens") == F.col("most")
+    alone = pieces.where(full).select(
+        "target_id", F.concat_ws("-", F.lit("w"), F.col("id").cast("string"), F.col("part").cast("string")).alias("container"), "id", "part",
+        F.col("tokens").cast("int").alias("tokens"), F.col("loss").cast("int").alias("loss"),
+    )
+    pieces = pieces.where(~full).drop("most")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         cap = int(pdf["cap"].iloc[0])
@@ -190,4 +202,5 @@ def pack(
         )
 
     kind = items.schema[id_col].dataType.simpleString()
-    return pieces.groupBy("target_id", "lot").applyInPandas(one, f"target_id {tid}, container string, id {kind}, part int, tokens int, loss int")
+    packed = pieces.groupBy("target_id", "lot").applyInPandas(one, f"target_id {tid}, container string, id {kind}, part int, tokens int, loss int")
+    return packed.unionByName(alone)
