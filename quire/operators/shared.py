@@ -45,6 +45,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system the path names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def sized_broadcast(df: DataFrame, name: str, most_rows: int = 100_000) -> DataFrame:
     """`df`, written to the shared folder, with a broadcast hint only where it turned out to have at most `most_rows` rows.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as X
 from quire.functions import urls as U
-from quire.operators import agents, boilerplate, chapters, fetching, guards, lines, naming, profiles, render
+from quire.operators import agents, boilerplate, chapters, fetching, guards, learning, lines, naming, profiles, render
 from quire.plans.queries import _BLANKS, _CHALLENGE, _EDGES, _FP, _is_keyword, _lines, _list, _matches, _segments, _strip, edge_candidates, query
 from quire.sources import files
 from quire.sources.tables import table
@@ -276,3 +276,95 @@ def _nav(x: str) -> str:
 def edges_trimmed(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "pipeline_contexts", spread=True).where("content is not null")
     return df.select("ctx_id", F.md5(lines.strip_nav_edges(F.col("content"))).alias("trimmed"))
+
+
+# ---- learning ---------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""select domain, coalesce(list_filter(list_concat(remove_selectors, ['SCRIPT', ' ', content_selector]), lambda x: {_strip("x")} <> '' and lower({_strip("x")}) not in {_list(learning.ALWAYS_DROPPED)}), []) as selectors,
+      case when p.domain in (select domain from story_progress) then p.domain || ': conf=' || printf('%.2f', coalesce(confidence, 0.0)) || ' | content=' || coalesce('''' || content_selector || '''', 'None')
+        || ' | nav=' || coalesce('''' || nav_type || '''', 'None') else p.domain || ': no profile' end as summary from site_profiles p"""
+)
+def profile_reports(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "site_profiles")
+    known = table(spark, d, "story_progress").where("domain is not null").select("domain").distinct().withColumn("known", F.lit(True))
+    selectors = learning.sanitised_selectors(F.concat(F.coalesce("remove_selectors", F.array().cast("array<string>")), F.array(F.lit("SCRIPT"), F.lit(" "), F.col("content_selector"))))
+    summary = learning.profile_summary(F.col("domain"), F.coalesce("known", F.lit(False)), F.col("confidence"), F.col("content_selector"), F.col("nav_type"))
+    return p.join(known, "domain", "left").select("domain", selectors.alias("selectors"), summary.alias("summary"))
+
+
+_PREFIX = "list_max(list_filter(range(1, length(list_min(ts)) + 1), lambda i: list_min(ts)[1:i] = list_max(ts)[1:i]))"
+
+
+@query(
+    f"""with r as (select story_id, title, row_number() over (partition by story_id order by chapter_index nulls first, doc_id) as k from documents where title is not null and story_id is not null),
+    g as (select story_id, list(title) as ts from r where k <= 5 group by story_id),
+    n as (select story_id, regexp_replace(coalesce(list_min(ts)[1:{_PREFIX}], ''), '[\\s\\x{{3000}}\\-–—:|,.#(\\[0-9]+$', '') as name from g)
+    select story_id, case when length(name) >= 3 then name end as name from n"""
+)
+def story_names(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where("story_id is not null").select("story_id", "title", "chapter_index", "doc_id")
+    return learning.story_names(docs, "story_id", ["chapter_index", "doc_id"], "title")
+
+
+@query(
+    f"""with a as (select doc_id, {_lines("text")} as ls, lang from documents where text is not null), b as (select *, len(ls) as n from a),
+    s as (select *, list_transform([0, 1, 2], lambda k: ('0x' || md5(doc_id || ':' || k)[1:8])::bigint % greatest(n - 79, 1)) as st from b)
+    select doc_id, case when n < 240 then true else len(list_filter(st, lambda p: len(list_filter(ls[p + 1:p + 80], lambda x: regexp_matches({_strip("x")}, '[.!?。]$'))) = 0)) = 0 end as holds from s"""
+)
+def patterns_held(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a pattern (here a line that ends a sentence) is met in three drawn chunks of each text."""
+    docs = table(spark, d, "documents", spread=True).where("text is not null")
+    return docs.select("doc_id", learning.pattern_holds(F.col("text"), F.lit("[.!?。]$"), F.col("doc_id")).alias("holds"))
+
+
+@query(
+    """select domain, 'profile' as origin from site_profiles union all select distinct domain, 'story' as origin from story_progress where domain is not null and domain not in (select domain from site_profiles)"""
+)
+def cases_appended(spark: SparkSession, d: str) -> DataFrame:
+    old = table(spark, d, "site_profiles").select("domain", F.lit("profile").alias("origin"))
+    new = table(spark, d, "story_progress").where("domain is not null").select("domain", F.lit("story").alias("origin")).distinct()
+    return learning.append_new(old, new, "domain")
+
+
+@query("select domain, profile_version from site_profiles where regexp_matches(domain, '(?i)^[a-m].*\\.test$')")
+def relearn_listing(spark: SparkSession, d: str) -> DataFrame:
+    return learning.matching_profiles(table(spark, d, "site_profiles").select("domain", "profile_version"), r"^[a-m].*\.test$")
+
+
+_INDEX = f"(not regexp_matches(coalesce(url, ''), '{U.CHAPTER}') and regexp_matches(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://[^/?#]*([^?#]*)', 1), '{U.INDEX}'))"
+
+
+@query(
+    f"""with a as (select ctx_id, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*/[^/?#]*/[^/?#]*', 0) as story, {_INDEX} as idx from pipeline_contexts where url is not null),
+    b as (select *, min(case when idx then ctx_id end) over (partition by story) as stop from a)
+    select ctx_id, story, stop is not null as completed from b where stop is null or ctx_id < stop"""
+)
+def until_index(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of each story up to its first index page, which completes it."""
+    rows = table(spark, d, "pipeline_contexts").where("url is not null").select("ctx_id", "url", F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*/[^/?#]*/[^/?#]*", 0).alias("story"))
+    return learning.until_index(rows, "story", "ctx_id", U.page_type(F.col("url")) == "index").select("ctx_id", "story", "completed")
+
+
+_KNOWN = f"(select domain, {_strip('lower(k)')} as keyword from (select domain, unnest(ads_keywords_learned) as k from site_profiles) where {_is_keyword(_strip('lower(k)'))})"
+
+
+@query(
+    f"""with {_EDGES}, f as (select k.* from k where n >= 5 and not exists (select 1 from {_KNOWN} w where w.domain = k.domain and w.keyword = k.line)),
+    r as (select *, row_number() over (partition by domain order by n desc, line) as rank from f) select domain, line, n, rank from r where rank <= 20"""
+)
+def new_suspects(spark: SparkSession, d: str) -> DataFrame:
+    known = table(spark, d, "site_profiles").select("domain", F.explode("ads_keywords_learned").alias("k")).select("domain", X.strip(F.lower("k")).alias("keyword")).where(X.is_keyword(F.col("keyword")))
+    docs = table(spark, d, "documents", spread=True)
+    return learning.new_suspects(docs, F.coalesce("source", F.lit("")), F.col("text"), known).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(
+    f"""with a as (select ctx_id, html, regexp_replace(html, '(?is)<(script|style|noscript)\\b.*?</(?:script|style|noscript)\\s*>', '', 'g') as bare from pipeline_contexts where html is not null)
+    select ctx_id, md5(case when length(html) <= 900 then html when length(bare) <= 900 then bare
+      else {_strip("regexp_replace(regexp_replace(bare, '(?s)<[^>]*>', chr(10), 'g'), '[ \\t\\x{b}\\f\\r\\n]*\\n[ \\t\\x{b}\\f\\r\\n]*', chr(10), 'g')")}[1:900] end) as snippet from a"""
+)
+def snippets(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "pipeline_contexts").where("html is not null")
+    return df.select("ctx_id", F.md5(learning.snippet(F.col("html"), 900)).alias("snippet"))

@@ -13,6 +13,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from quire.functions.text import fingerprint
 from quire.operators.boilerplate import edge_lines
+from quire.operators.shared import exists
 
 _BINARY = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -29,11 +30,8 @@ def run_inbox(files: DataFrame, process, manifest_path: str, checkpoint: str) ->
 
     def batch(df: DataFrame, _: int) -> None:
         spark = df.sparkSession
-        try:
-            done = spark.read.parquet(manifest_path).select("sha256")
-            df = df.join(done, "sha256", "left_anti")
-        except Exception:  # there is no manifest yet
-            pass
+        if exists(spark, manifest_path):  # a manifest that is there but cannot be read is an error
+            df = df.join(spark.read.parquet(manifest_path).select("sha256"), "sha256", "left_anti")
         process(df)
         df.select("sha256", "path", F.current_timestamp().alias("processed_at")).write.mode("append").parquet(manifest_path)
 
