@@ -96,7 +96,6 @@ def test_pages_give_what_they_show(spark):
         if r.content:  # every word of the content stands in the page
             words = [w for w in re.findall(r"[A-Za-z]{5,}", r.content) if not w.isupper()]  # placeholders of images aside
             assert sum(w in html for w in words) >= 0.98 * len(words)
-            assert "<p>" not in r.content and "</" not in re.sub(r"`[^`]*`", "", r.content)[:200]
 
 
 def test_runs_give_stable_columns(spark):
