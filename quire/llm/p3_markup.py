@@ -295,32 +295,36 @@ def _optional(node: Node) -> Node:
     return node
 
 
+_STEP = " > "
+
+
 def body_regions(wrapper: Node) -> list[str]:
-    """Top regions of a site's wrapper from the one whose slots hold most text a page outside links, best first."""
-    top = wrapper
+    """Groups of a site's wrapper right below its frame, as paths from the root, from the one whose slots hold most text a
+    page outside links, best first."""
+    top, path = wrapper, []
     while len(top.groups) == 1 and top.groups[0].sign.split(".")[0] in ("table", "tr", "tbody", "div") and not top.groups[0].repeated:
         top = top.groups[0]
+        path.append(top.sign)
 
     def plain(n: Node) -> int:
         return n.chars - n.links + sum(plain(g) for g in n.groups)
 
     ranked = sorted(top.groups, key=lambda g: -plain(g) / max(1, g.pages))
-    return [g.sign for g in ranked]
+    return [_STEP.join([*path, g.sign]) for g in ranked]
 
 
 def body_blocks(page: Page, regions: list[str] | None) -> list[Block]:
-    """The blocks of a page's main body: of the best region of its site's wrapper that the page has."""
+    """The blocks of a page's main body: the page is matched against its site's wrapper from the root down, and the slots
+    below the best group it has are its body. A page that the wrapper's frame does not fit is all body."""
     if not regions:
         return page.blocks
+    depth = {r: r.count(_STEP) + 1 for r in regions}
     by: dict[str, list[Block]] = {}
     for b in page.blocks:
-        signs = [_sign(p) for p in b.path]
-        for s in signs:
-            by.setdefault(s, []).append(b)
-    for r in regions:
-        if r in by:
-            return by[r]
-    return page.blocks
+        signs = [_sign(p) for p in b.path if p[0] not in ("html", "body")]
+        for n in set(depth.values()):
+            by.setdefault(_STEP.join(signs[:n]), []).append(b)
+    return next((by[r] for r in regions if r in by), page.blocks)
 
 
 def _fold_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -171,7 +171,7 @@ def decide(page: Page, model: Bayes) -> str | None:
 _TELLING = r"(?i)lorem|ipsum|\{\{|\$\{|#\{|&lt;%|\[%|@@|__[A-Z]|%s|TODO:|\[\[\+"
 
 
-def train(df: DataFrame, id_col: str, html_col: str, status_col: str, sample: int = 12000, short: int = 900, rare: float = 0.02) -> Bayes:
+def train(df: DataFrame, id_col: str, html_col: str, status_col: str, sample: int = 12000, short: int = 900, rare: float = 0.05) -> Bayes:
     """Fit on the passages of at most `sample` records: half that look telling at first sight (a short page or a telling
     shape), half of all others; of each half those with the least hash of their id, so every run takes the same.
 
