@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 from typing import NamedTuple
 from urllib.parse import urljoin
@@ -51,15 +52,22 @@ class Measure(NamedTuple):
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "children", "parent", "size")
+    __slots__ = ("tag", "attrs", "children", "parent", "order")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None, parent: Element | None = None):
         self.tag, self.attrs, self.parent = tag, attrs or {}, parent
         self.children: list[Element | str] = []
-        self.size = 0  # characters of its markup
+        self.order: list[Element] | None = None
 
     def all(self) -> Iterator[Element]:
         """Descendants in document order."""
+        return self._walk() if self.order is None else iter(self.order)
+
+    def settle(self) -> None:
+        """Keep the order of the descendants: nothing below is changed any more."""
+        self.order = list(self._walk())
+
+    def _walk(self) -> Iterator[Element]:
         stack = [c for c in reversed(self.children) if isinstance(c, Element)]
         while stack:
             e = stack.pop()
@@ -117,6 +125,9 @@ class _Builder(HTMLParser):
         self.root = Element("[document]")
         self.at = self.root
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # line numbers are not asked for
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         e = Element(tag, {k: v or "" for k, v in reversed(attrs)}, self.at)
         self.at.children.append(e)
@@ -151,93 +162,113 @@ _STEP = re.compile(r"\s*([>+~]?)\s*((?:[\w-]+|\*)?(?:[#.][\w-]+|\[[^\]]*\]|:[\w-
 _PART = re.compile(r"([#.])([\w-]+)|\[\s*([\w-]+)\s*(?:([~^$*|]?=)\s*['\"]?([^'\"\]]*)['\"]?)?\s*\]|:(contains|first-child|first-of-type)(?:\(\s*['\"]?(.*?)['\"]?\s*\))?")
 
 
-def _matches(e: Element, simple: str) -> bool:
-    m = re.match(r"[\w-]+|\*", simple)
-    tag = m.group() if m else "*"
-    if tag != "*" and e.tag != tag.lower():
-        return False
-    for p in _PART.finditer(simple, m.end() if m else 0):
-        kind, name, attr, op, value, pseudo, argument = p.groups()
-        if kind == "#":
-            ok = e.attrs.get("id") == name
-        elif kind == ".":
-            ok = name in e.classes()
-        elif pseudo == "contains":
-            ok = (argument or "").lower() in e.text().lower()
-        elif pseudo:
-            siblings = [c for c in (e.parent.children if e.parent else []) if isinstance(c, Element) and (pseudo == "first-child" or c.tag == e.tag)]
-            ok = bool(siblings) and siblings[0] is e
-        elif attr not in e.attrs:
-            ok = False
-        else:
-            have = e.attrs[attr]
-            tests = {None: True, "=": have == value, "~=": value in have.split(), "^=": have.startswith(value), "$=": have.endswith(value), "*=": value in have, "|=": have == value or have.startswith(value + "-")}
-            ok = bool(tests[op]) if op is None or value else False
-        if not ok:
+class Simple:
+    """One compound of a selector (tag, ids, classes, attributes, pseudo-classes), parsed once."""
+
+    def __init__(self, text: str):
+        m = re.match(r"[\w-]+|\*", text)
+        tag = m.group().lower() if m else "*"
+        self.tag = None if tag == "*" else tag
+        self.parts = [p.groups() for p in _PART.finditer(text, m.end() if m else 0)]
+
+    def fits(self, e: Element) -> bool:
+        return (self.tag is None or e.tag == self.tag) and all(self._holds(e, *p) for p in self.parts)
+
+    @staticmethod
+    def _holds(e: Element, kind: str | None, name: str | None, attr: str | None, op: str | None, value: str | None, pseudo: str | None, argument: str | None) -> bool:
+        if kind:
+            return e.attrs.get("id") == name if kind == "#" else "class" in e.attrs and name in e.classes()
+        if pseudo == "contains":
+            return (argument or "").lower() in e.text().lower()
+        if pseudo:
+            siblings = (c for c in (e.parent.children if e.parent else []) if isinstance(c, Element) and (pseudo == "first-child" or c.tag == e.tag))
+            return next(siblings, None) is e
+        if attr not in e.attrs:
             return False
-    return True
+        have = e.attrs[attr]
+        tests = {None: True, "=": have == value, "~=": value in have.split(), "^=": have.startswith(value or ""), "$=": have.endswith(value or ""), "*=": (value or "") in have, "|=": have == value or have.startswith(f"{value}-")}
+        return bool(tests[op]) if op is None or value else False
+
+
+@lru_cache(maxsize=4096)
+def _compiled(selector: str) -> tuple[tuple[tuple[str, Simple], ...], ...]:
+    """The alternatives of a selector, each a chain of (how it hangs on the one before, compound)."""
+    chains = (tuple((m[1], Simple(m[2])) for m in _STEP.finditer(one) if m[2]) for one in re.split(r",(?![^\[(]*[\])])", selector))
+    return tuple(c for c in chains if c)
+
+
+def _found(root: Element, selector: str) -> Iterator[Element]:
+    chains = _compiled(selector)
+    for e in root.all() if chains else ():
+        if any(chain[-1][1].fits(e) and _above(e, chain, len(chain) - 1) for chain in chains):
+            yield e
 
 
 def select(root: Element, selector: str) -> list[Element]:
     """Elements a selector finds, in document order. Tags, ids, classes, attributes, :contains, > and descendants."""
-    out: list[Element] = []
-    for one in re.split(r",(?![^\[(]*[\])])", selector):
-        steps = [(m[1], m[2]) for m in _STEP.finditer(one) if m[2]]
-        if not steps:
-            continue
-        for e in root.all():
-            if _matches(e, steps[-1][1]) and _above(e, steps, len(steps) - 1):
-                out.append(e)
-    if "," in selector:
-        order = {id(e): k for k, e in enumerate(root.all())}
-        out = sorted({id(e): e for e in out}.values(), key=lambda e: order[id(e)])
-    return out
-
-
-def _above(e: Element, steps: list[tuple[str, str]], k: int) -> bool:
+    return list(_found(root, selector))
+
+
+def _above(e: Element, chain: tuple[tuple[str, Simple], ...], k: int) -> bool:
     if k == 0:
         return True
-    direct = steps[k][0] == ">"
     p = e.parent
     while p is not None:
-        if _matches(p, steps[k - 1][1]) and _above(p, steps, k - 1):
+        if chain[k - 1][1].fits(p) and _above(p, chain, k - 1):
             return True
-        if direct:
+        if chain[k][0] == ">":
             return False
         p = p.parent
     return False
 
 
 def first(root: Element, selector: str | None) -> Element | None:
-    if not selector:
-        return None
-    found = select(root, selector)
-    return found[0] if found else None
+    return next(_found(root, selector), None) if selector else None
 
 
 # ---- filters ----------------------------------------------------------------------------------------------------------
 
 
+_NOISE_NAMES = [(selector, frozenset(re.findall(r"[\w-]+", selector))) for selector in NOISE]
+
+
+def _goes(e: Element) -> bool:
+    """Whether an element is a script, scrambled or invisible."""
+    if e.tag in ALWAYS_OUT:
+        return True
+    if not e.attrs:
+        return False
+    classes = e.classes()
+    if len(classes) == 1 and e.tag != "p" and _SCRAMBLED.match(classes[0]) and len(e.text().strip()) <= 40:
+        return True
+    if "hidden" in e.attrs or e.attrs.get("aria-hidden") == "true" or "style" in e.attrs and _HIDDEN.search(e.attrs["style"]):
+        return True
+    return any(c.lower() in HIDDEN_CLASSES for c in classes)
+
+
 def filtered(root: Element, remove: list[str] | None = None, keep: list[str | None] | None = None) -> Element:
     """The tree without scripts, scrambled and invisible elements, known noise, and a profile's selectors.
 
     A profile's selector spares what is, or holds, an element that one of `keep` finds first.
     """
     names: set[str] = set()
-    for e in list(root.all()):
-        classes = e.classes()
-        names.update(classes)
-        names.add(e.attrs.get("id", ""))
-        if not e.is_alive(root):
-            continue
-        if e.tag in ALWAYS_OUT:
-            e.remove()
-        elif len(classes) == 1 and e.tag != "p" and _SCRAMBLED.match(classes[0]) and len(e.text().strip()) <= 40:
-            e.remove()
-        elif "hidden" in e.attrs or e.attrs.get("aria-hidden") == "true" or _HIDDEN.search(e.attrs.get("style", "")) or HIDDEN_CLASSES & {c.lower() for c in classes}:
-            e.remove()
-    for selector in NOISE:
-        if names.intersection(re.findall(r"[\w-]+", selector)):  # most pages have none of the names
+    open_elements = [root]
+    while open_elements:  # below an element that goes nothing is looked at
+        above = open_elements.pop()
+        kept = [c for c in above.children if isinstance(c, str) or not _goes(c)]
+        if len(kept) < len(above.children):
+            for c in above.children:
+                if isinstance(c, Element) and not any(c is k for k in kept):
+                    c.parent = None
+            above.children = kept
+        inner = [c for c in kept if isinstance(c, Element)]
+        for e in inner:
+            if e.attrs:
+                names.update(e.classes())
+                names.add(e.attrs.get("id", ""))
+        open_elements += inner
+    for selector, words in _NOISE_NAMES:
+        if names & words:  # most pages have none of the names
             for e in select(root, selector):
                 e.remove()
     if remove:
@@ -246,6 +277,7 @@ def filtered(root: Element, remove: list[str] | None = None, keep: list[str | No
             for e in select(root, selector or ""):
                 if not any(s is e or _within(s, e) for s in spared):
                     e.remove()
+    root.settle()
     return root
 
 

@@ -111,18 +111,21 @@ def read_page(html: str | None, url: str | None, content_selector: str | None, t
     e = first(root, title_selector)
     if e is not None and e.tag not in NOT_TITLES and 3 <= len(t := e.text(" ")) <= 200:
         out["titles"].append({"method": "selector", "text": t, "confidence": 0.95})
-    for tag in ("h1", "h2"):
-        for h in root.all():
-            if h.tag == tag and 3 <= len(t := h.text(" ")) <= 200 and not _banned(h):
-                out["titles"].append({"method": tag, "text": t, "confidence": 0.8})
-                break
+    heads: dict[str, str] = {}
     for x in root.all():
-        if x.tag == "title" and out["title_tag"] is None:
-            out["title_tag"] = x.text().strip() or None
-        elif x.tag == "meta" and x.attrs.get("property") == "og:title" and out["og_title"] is None:
+        tag = x.tag
+        if tag == "a":
+            if href := x.attrs.get("href"):
+                out["links"].append({"href": href if href.startswith("#") else urljoin(url, href), "text": x.text().strip()})
+        elif tag in ("h1", "h2"):
+            if tag not in heads and 3 <= len(t := x.text(" ")) <= 200 and not _banned(x):
+                heads[tag] = t
+        elif tag == "title":
+            if out["title_tag"] is None:
+                out["title_tag"] = x.text().strip() or None
+        elif tag == "meta" and x.attrs.get("property") == "og:title" and out["og_title"] is None:
             out["og_title"] = x.attrs.get("content")
-        elif x.tag == "a" and x.attrs.get("href"):
-            out["links"].append({"href": urljoin(url, x.attrs["href"]) if not x.attrs["href"].startswith("#") else x.attrs["href"], "text": x.text().strip()})
+    out["titles"] += [{"method": tag, "text": heads[tag], "confidence": 0.8} for tag in ("h1", "h2") if tag in heads]
     rel = first(root, "link[rel~=next]") or first(root, "a[rel~=next]")
     if rel is not None and rel.attrs.get("href"):
         out["rel_next"] = urljoin(url, rel.attrs["href"])
