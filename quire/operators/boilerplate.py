@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import any_match, is_keyword, lines, strip
+from quire.functions.text import any_match, is_keyword, let, lines, strip
 from quire.operators.shared import sized_broadcast
 
 # Fixed values of the task: watermarks known for one site.
@@ -29,9 +29,17 @@ PATTERNS = {
 
 def has_watermark(line: Column, domain: Column) -> Column:
     """Whether a line shows one of its site's rotating watermarks."""
+    return _watermark(line, _bare_domain(domain))
+
+
+def _bare_domain(domain: Column) -> Column:
+    return F.regexp_replace(F.lower(F.coalesce(domain, F.lit(""))), r"^(?:epub:|txt:|www\.)+", "")
+
+
+def _watermark(line: Column, site: Column) -> Column:
     out = F.lit(False)
-    for site, patterns in PATTERNS.items():
-        out = out | ((F.regexp_replace(F.lower(domain), r"^(?:epub:|txt:|www\.)+", "") == site) & any_match(line, [f"(?i){p}" for p in patterns]))
+    for name, patterns in PATTERNS.items():
+        out = out | ((site == name) & any_match(line, [f"(?i){p}" for p in patterns]))
     return F.coalesce(out, F.lit(False))
 
 
@@ -93,13 +101,13 @@ def filter_lines(docs: DataFrame, domain: Column, text_col: str, words: DataFram
     every = sets.where("domain = 'global'").agg(F.first("words").alias("__all"))  # one row
     joined = docs.withColumn("__k", domain).join(own, F.col("__k") == F.col("__d"), "left").join(F.broadcast(every))
     found = F.concat(F.coalesce(F.col("__own"), F.array().cast("array<string>")), F.coalesce(F.col("__all"), F.array().cast("array<string>")))
-    joined = joined.withColumn("__w", found)
+    joined = joined.withColumn("__w", found).withColumn("__s", _bare_domain(F.col("__k")))
     kept = F.filter(
-        lines(F.col(text_col)), lambda x: (strip(x) == "") | ~(F.exists(F.col("__w"), lambda k: F.contains(F.lower(x), k)) | has_watermark(x, F.col("__k")))
+        lines(F.col(text_col)), lambda x: (strip(x) == "") | ~(let(F.lower(x), lambda low: F.exists(F.col("__w"), lambda k: F.contains(low, k))) | _watermark(x, F.col("__s")))
     )
-    patterned = F.regexp_replace(F.lower(F.coalesce(F.col("__k"), F.lit(""))), r"^(?:epub:|txt:|www\.)+", "").isin(*PATTERNS)
+    patterned = F.col("__s").isin(*PATTERNS)
     clean = F.when((F.size("__w") == 0) & ~patterned, F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumn(text_col, clean).drop("__k", "__d", "__own", "__all", "__w")
+    return joined.withColumn(text_col, clean).drop("__k", "__d", "__own", "__all", "__w", "__s")
 
 
 def merge_keywords(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quire.functions.text import fingerprint, is_challenge, is_junk_page, length_score, prose_score, strip
 from quire.functions.urls import is_numbered, page_type, site_key
@@ -11,9 +12,9 @@ from quire.operators.boilerplate import candidates, filter_lines, keyword_sets,
 from quire.operators.chapters import smart_title
 from quire.operators.extract import body_of, chosen, with_candidates
 from quire.operators.guards import copies, until_repeat
-from quire.operators.lines import LEAST, clean_content, floor, strip_nav_edges
+from quire.operators.lines import LEAST, clean_content, trimmed
 from quire.operators.profiles import with_profile
-from quire.operators.shared import materialize
+from quire.operators.shared import materialize, with_python_column
 from quire.sources.tables import table
 
 
@@ -42,7 +43,7 @@ def filtered(rows: DataFrame, words: DataFrame) -> DataFrame:
     """`rows` (domain, body) without boilerplate: keyword lines go before and after the edges are trimmed."""
     sets = keyword_sets(words)
     rows = filter_lines(rows, F.col("domain"), "body", sets)
-    return filter_lines(rows.withColumn("body", floor(F.col("body"), strip_nav_edges)), F.col("domain"), "body", sets)
+    return filter_lines(with_python_column(rows, ["body"], "body", StringType(), trimmed), F.col("domain"), "body", sets)
 
 
 def until_loop(rows: DataFrame) -> DataFrame:

@@ -275,7 +275,7 @@ def _nav(x: str) -> str:
 )
 def edges_trimmed(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "pipeline_contexts", spread=True).where("content is not null")
-    return df.select("ctx_id", F.md5(lines.strip_nav_edges(F.col("content"))).alias("trimmed"))
+    return lines.passes(df.select("ctx_id", "content"), "content", {"trimmed": lines.without_edges}).select("ctx_id", F.md5("trimmed").alias("trimmed"))
 
 
 # ---- learning ---------------------------------------------------------------------------------------------------------
